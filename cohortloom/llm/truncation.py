@@ -112,3 +112,14 @@ def cut_records(texts: DataFrame, pattern: str) -> DataFrame:
     """``kind, record_id`` of every text that is cut off (see :func:`cut_statements`)."""
     records, cut = cut_statements(texts, pattern)
     return records.join(cut, ["kind", "last"], "left_semi").select("kind", "record_id")
+
+
+def cut_rates(texts: DataFrame, pattern: str) -> DataFrame:
+    """``field, source, texts, cut, share``: how often each source truncates, null sources as one group.
+
+    Null and blank texts count as texts: the share is of all rows of a source.
+    """
+    records, cut = cut_statements(texts, pattern)
+    marked = records.join(cut.withColumn("broken", F.lit(1)), ["kind", "last"], "left")
+    counted = marked.groupBy(F.col("kind").alias("field"), "source").agg(F.count(F.lit(1)).alias("texts"), F.count("broken").alias("cut"))
+    return counted.withColumn("share", F.col("cut") / F.col("texts"))
