@@ -44,8 +44,7 @@ def broken_linkage(slots: DataFrame, slot: str, owner: str, cost: Column | None
     Shifts that keep an owner together are out; ties go to the smaller shift. Fails if none is left. The work is
     quadratic in the slots by definition, so it is for cohorts of a few thousand.
     """
-    w = Window.orderBy(owner, slot)
-    s = slots.select(F.col(slot).alias("slot"), F.col(owner).alias("owner"), F.col(length).alias("len")).withColumnsRenamed({}).select("*", (F.row_number().over(Window.orderBy("owner", "slot")) - 1).alias("i"))
+    s = slots.select(F.col(slot).alias("slot"), F.col(owner).alias("owner"), F.col(length).alias("len")).select("*", (F.row_number().over(Window.orderBy("owner", "slot")) - 1).alias("i"))
     n = s.agg(F.count(F.lit(1)).alias("n"))
     shifts = n.where("n > 1").select("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("shift"))
     pair = s.crossJoin(shifts).withColumn("d", F.pmod(F.col("i") + F.col("shift"), F.col("n")))
@@ -62,7 +61,7 @@ def gate_threshold(cases: DataFrame, score: str, good: str, steps: int = 100, le
     Needs ``least`` cases, both classes and the coverage; ties go to the smaller threshold. No row if it can't be met.
     """
     c = cases.select(F.col(score).cast("double").alias("s"), F.col(good).cast("int").alias("g")).where("s IS NOT NULL AND g IS NOT NULL")
-    at = F.expr(f"percentile(s, transform(sequence(0, {steps}), i -> i / {steps}.0D))")
+    at = F.expr(f"percentile(s, array({', '.join(f'{i / steps}D' for i in range(steps + 1))}))")
     stats = c.agg(at.alias("q"), F.count(F.lit(1)).alias("n"), F.sum("g").alias("pos"))
     grid = stats.where((F.col("n") >= least) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))).select("n", "pos", F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, 6)))).alias("t"))
     met = c.join(F.broadcast(grid), F.round("s", 6) >= F.col("t"))  # at most steps + 1 thresholds

@@ -61,15 +61,16 @@ def identity_conflicts(rows: DataFrame, identity: str, owner: str) -> DataFrame:
     return pairs.groupBy("identity").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
 
 
-def linked(admissions: DataFrame, studies: Sequence[tuple[str, DataFrame, str, Sequence[str]]]) -> DataFrame:
+def linked(rows: DataFrame, studies: Sequence[tuple[str, DataFrame, str, Sequence[str]]], on: Sequence[str] | None = None) -> DataFrame:
     """Left lookups of several study tables, each ``(name, table, key, columns)``, with a flag ``has_<name>``.
 
-    A study table must have one row per key; its columns come out under ``<name>_<column>``, so equal names don't clash.
+    ``on`` names the column of ``rows`` that meets each key; without it the names are the same. A study table must have
+    one row per key; its columns come out under ``<name>_<column>``, so equal names don't clash. A null key finds nothing.
     """
-    out = admissions
-    for name, studies_table, key, columns in studies:
-        side = studies_table.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *(F.col(c).alias(f"{name}_{c}") for c in columns), F.lit(True).alias(f"has_{name}"))
-        out = out.join(side, out[key] == side["_key"], "left").drop("_key").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    out = rows
+    for (name, found, key, columns), mine in zip(studies, on or [s[2] for s in studies], strict=True):
+        side = found.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *(F.col(c).alias(f"{name}_{c}") for c in columns), F.lit(True).alias(f"has_{name}"))
+        out = out.join(side, F.col(mine) == F.col("_key"), "left").drop("_key").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
     return out
 
 

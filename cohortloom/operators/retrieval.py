@@ -99,20 +99,19 @@ def metrics_at(ranked: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     r = ranked.withColumn("rel", F.col("relevant").cast("double")).withColumn("seen", F.sum("rel").over(w))
-    log2 = lambda x: F.log(F.lit(2.0), x)
     aggs = [F.sum("rel").alias("positives"), F.count(F.lit(1)).alias("n")]
     for k in ks:
         top = F.col("rank") <= k
         aggs += [
             F.sum(F.when(top, F.col("rel")).otherwise(0.0)).alias(f"_hits{k}"),
             F.sum(F.when(top, F.col("rel") * F.col("seen") / F.col("rank")).otherwise(0.0)).alias(f"_ap{k}"),
-            F.sum(F.when(top, F.col("rel") / log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"_dcg{k}"),
+            F.sum(F.when(top, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"_dcg{k}"),
         ]
     per = r.groupBy("query_id").agg(*aggs)
     out = [F.col("query_id"), F.col("positives").cast("long").alias("positives")]
     for k in ks:
         cap = F.least(F.col("positives"), F.lit(k)).cast("int")
-        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(cap, F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log(F.lit(2.0), i + 1))
+        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(cap, F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
         hits = F.col(f"_hits{k}")
         some = F.col("positives") > 0
         out += [

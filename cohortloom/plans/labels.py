@@ -88,8 +88,8 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _LONG
-    + """, r AS (SELECT g, key, min((y = p OR y < 0)::INT) AS exact, max((y = 1)::INT) AS some FROM long GROUP BY ALL),
-  n AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE some = 0) AS empty_reference_n, avg(exact) AS exact FROM r GROUP BY g),
+    + """, r AS (SELECT g, key, min((y = p OR y < 0)::INT) AS exact, max((y = 1)::INT) AS any_true FROM long GROUP BY ALL),
+  n AS (SELECT g, count(*) AS n, count(*) FILTER (WHERE any_true = 0) AS empty_reference_n, avg(exact) AS exact FROM r GROUP BY g),
   w AS (SELECT g, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(correct) AS correct, sum(known) AS known, sum(positive) AS positive, avg(2 * tp / greatest(2 * tp + fp + fn, 1)) AS macro FROM lab GROUP BY g)
   SELECT g, n, empty_reference_n, round(tp / greatest(tp + fp, 1), 9) AS micro_precision, round(tp / greatest(tp + fn, 1), 9) AS micro_recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) AS micro_f1,
     round(macro, 9) AS macro_f1, round(exact, 9) AS exact_match, round(correct / greatest(known, 1), 9) AS hamming_accuracy, round(1 - positive / greatest(known, 1), 9) AS all_negative_baseline FROM w JOIN n USING (g)"""
@@ -183,19 +183,19 @@ def claim_budget(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     """Every claim's overlap with its report; tested against the textbook table, as SQL would take it row by row."""
-    rows = table(spark, d, "generation_attempts").where("status = 'ok'").select("attempt_id", "generated_report", F.posexplode("evidence_trace").alias("at", "x"))
-    return rows.select("attempt_id", "at", F.round(T.rouge_l(F.col("generated_report"), F.col("x.claim")), 9).alias("rouge_l"))
+    rows = table(spark, d, "generation_attempts").where("status = 'ok'").select("attempt_id", "generated_report", F.posexplode("evidence_trace").alias("place", "x"))
+    return rows.select("attempt_id", "place", F.round(T.rouge_l(F.col("generated_report"), F.col("x.claim")), 9).alias("rouge_l"))
 
 
 @query(
-    """WITH t AS (SELECT attempt_id, at, regexp_extract_all(lower(coalesce(generated_report, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS a, regexp_extract_all(lower(coalesce(claim, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS b
-    FROM (SELECT attempt_id, generated_report, unnest(range(0, len(evidence_trace)))::INT AS at, unnest(evidence_trace).claim AS claim FROM generation_attempts WHERE status = 'ok')),
-  s AS (SELECT attempt_id, at, len(a) AS la, len(b) AS lb, list_sum(list_transform(list_distinct(list_filter(b, lambda x: list_contains(a, x))), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS o FROM t)
-  SELECT attempt_id, at, round(CASE WHEN la = 0 OR lb = 0 THEN 0.0 ELSE 2 * coalesce(o, 0) / (la + lb) END, 9) AS rouge_1 FROM s"""
+    """WITH t AS (SELECT attempt_id, place, regexp_extract_all(lower(coalesce(generated_report, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS a, regexp_extract_all(lower(coalesce(claim, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*') AS b
+    FROM (SELECT attempt_id, generated_report, i AS place, evidence_trace[i + 1].claim AS claim FROM (SELECT attempt_id, generated_report, evidence_trace, unnest(range(0, len(evidence_trace)))::INT AS i FROM generation_attempts WHERE status = 'ok'))),
+  s AS (SELECT attempt_id, place, len(a) AS la, len(b) AS lb, list_sum(list_transform(list_distinct(list_filter(b, lambda x: list_contains(a, x))), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS o FROM t)
+  SELECT attempt_id, place, round(CASE WHEN la = 0 OR lb = 0 THEN 0.0 ELSE 2 * coalesce(o, 0) / (la + lb) END, 9) AS rouge_1 FROM s"""
 )
 def rouge_1(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "generation_attempts").where("status = 'ok'").select("attempt_id", "generated_report", F.posexplode("evidence_trace").alias("at", "x"))
-    return rows.select("attempt_id", "at", F.round(T.rouge_n(F.col("generated_report"), F.col("x.claim"), 1), 9).alias("rouge_1"))
+    rows = table(spark, d, "generation_attempts").where("status = 'ok'").select("attempt_id", "generated_report", F.posexplode("evidence_trace").alias("place", "x"))
+    return rows.select("attempt_id", "place", F.round(T.rouge_n(F.col("generated_report"), F.col("x.claim"), 1), 9).alias("rouge_1"))
 
 
 @query(

@@ -103,13 +103,9 @@ def linked_admissions(spark: SparkSession, d: str) -> DataFrame:
 def linked_orders(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    joined = partition.linked(o, [("customer", table(spark, d, "customer"), "c_custkey", ["c_mktsegment"])])
-    return _orders(joined, items)
-
-
-def _orders(joined: DataFrame, items: DataFrame) -> DataFrame:
-    out = joined.join(items.select(F.col("l_orderkey"), F.col("lines").alias("item_lines"), F.lit(True).alias("has_item")), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return out.select("o_orderkey", "customer_c_mktsegment", "has_customer", "item_lines", F.coalesce("has_item", F.lit(False)).alias("has_item"))
+    found = partition.linked(o, [("customer", table(spark, d, "customer"), "c_custkey", ["c_mktsegment"])], ["o_custkey"])
+    found = partition.linked(found, [("item", items, "l_orderkey", ["lines"])], ["o_orderkey"])
+    return found.select("o_orderkey", "customer_c_mktsegment", "has_customer", "item_lines", "has_item")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortloom.functions.vector import chance_hit as chance
 from cohortloom.functions.vector import sign_codes
@@ -141,10 +142,10 @@ def chance_hit(spark: SparkSession, d: str) -> DataFrame:
     _unit()
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM scores),
   c AS (SELECT round(max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2), 6) AS s, bool_or(relevant) FILTER (WHERE rank = 1) AS g FROM r GROUP BY query_id),
-  q AS (SELECT DISTINCT round(quantile_cont(s, i / 100.0), 6) AS t FROM c, range(0, 101) x(i) GROUP BY i),
+  q AS (SELECT DISTINCT round(unnest((SELECT quantile_cont(s, [{steps}]) FROM c)), 6) AS t),
   e AS (SELECT t, count(*) FILTER (WHERE s >= t) AS a, count(*) FILTER (WHERE s >= t AND g) AS tp, count(*) FILTER (WHERE g) AS pos, count(*) AS n FROM c, q GROUP BY t)
   SELECT t AS threshold, round(2.0 * tp / greatest(a + pos, 1), 9) AS f1, round(a / n, 9) AS coverage FROM e
-  WHERE n >= 5 AND pos > 0 AND pos < n AND a / n >= 0.1 ORDER BY 2 DESC, 1 LIMIT 1"""
+  WHERE n >= 5 AND pos > 0 AND pos < n AND a / n >= 0.1 ORDER BY 2 DESC, 1 LIMIT 1""".replace("{steps}", ", ".join(str(i / 100) for i in range(101)))
 )
 def gate_threshold(spark: SparkSession, d: str) -> DataFrame:
     top = retrieval.ranks(_scores(spark, d), "stable").where("rank <= 2")
@@ -207,7 +208,5 @@ def random_control(spark: SparkSession, d: str) -> DataFrame:
     """Random candidates of other subjects by hash order: the query set against all rows."""
     q, c = _sides(spark, d)
     pairs = q.select(F.col("id").alias("query_id"), F.col("owner").alias("qo")).join(c.select(F.col("id").alias("cand_id"), "owner"), F.col("qo") != F.col("owner"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("query_id").orderBy(controls.hash_order("5107", "query_id", "cand_id"), "cand_id")
     return pairs.withColumn("pick", F.row_number().over(w)).where("pick <= 2").select("query_id", "cand_id", "pick")
