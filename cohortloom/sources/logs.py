@@ -32,8 +32,9 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``file, line``: the non-blank lines that the schema can't read."""
-    found = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return found.select(F.col("_metadata.file_name").alias("file"), F.col("_corrupt").alias("line")).where("line IS NOT NULL")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).where("length(trim(line)) > 0")
+    parsed = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.where(parsed["_corrupt"].isNotNull())
 
 
 def read_torn_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
