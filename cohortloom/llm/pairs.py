@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,10 +27,11 @@ MIN_TILE = 4
 #: Share of a response's words that tiles must cover to call it a copy.
 COPIED = 0.8
 
+_SENTENCE = re.compile(r"(?<=[.!?:])\s+|\s*\n\s*")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_MARKUP = re.compile(r"<think>\s*</think>|<\|[^|>]*\|>|</?[a-z]+>|```\s*\w*|​|﻿|&nbsp;", re.I)
+_MARKUP = re.compile(r"\"[a-z_]+\"\s*:|<think>\s*</think>|<\|[^|>]*\|>|</?[a-z]+>|```\s*\w*|​|﻿|&nbsp;", re.I)
 _HEADING = re.compile(r"^\W*(?:report|findings?|impressions?|summary|answer|response|output|conclusions?|results?|evidence(?:[ _]trace)?|claims?|uncertainties|befund|bericht|informe|ecg|cxr|ekg)\W*$", re.I)
-_MARKER = re.compile(r"^\W*(?:(?:no|empty|none) (?:output|response|answer|report|content|text)|none|null|nil|nan|n\W?a|empty|blank|tbd|json|undefined)\W*$", re.I)
+_MARKER = re.compile(r"^\W*(?:(?:no|empty|none|missing) (?:output|response|answer|report|content|text|claims?)(?: (?:available|provided|generated|given|produced))?|not (?:available|provided|generated)|see above|pending|x{3,}|none|null|nil|nan|n\W?a|empty|blank|tbd|json|undefined)\W*$", re.I)
 
 
 def has_content(text: str | None) -> bool:
@@ -75,7 +77,7 @@ def breaks_off(text: str) -> bool:
         return True
     if held and not re.search(r"[.!?]\W{0,2}$", body):
         return True
-    return bool(re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$|[,:;(\[{‐–]$", body))
+    return bool(re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$|[,:;(\[{‐–\\]$", body))
 
 
 _SELF = r"(?:i|we|this (?:assistant|model|system)|the (?:assistant|model|system))"
@@ -85,30 +87,41 @@ _CLINICAL = r"(?:exclud|rule|assess|be excluded|determin|visuali|see\b|identif)"
 _REFUSALS = re.compile(
     "|".join(
         (
-            rf"\b{_SELF}(?:'m| am| are)? (?:can't|cannot|can not|could not|won't|will not|must not|may not|am not able to|unable to|not able to|not allowed to|not permitted to)(?! {_CLINICAL})(?: \w+){{0,2}}? {_TASK}",
-            rf"\b{_SELF} (?:must |have to |has to )?(?:declin\w+|refus\w+)\b",
-            rf"\b{_SELF} (?:do|does) not have (?:the )?permission\b",
-            r"\b(?:request|question|task|prompt)\b[^.]{0,60}\b(?:outside|against|violates?|not permitted|not allowed)\b[^.]{0,80}",
-            r"\bwill not be (?:answered|processed|fulfilled|written|issued|generated)\b",
-            r"\bno (?:report|answer|interpretation|reading|diagnosis) (?:will|can) be (?:issued|given|provided|written|generated)\b",
-            r"\b(?:policy|guidelines|rules) (?:do|does) not (?:allow|permit)\b",
-            r"\bnot be appropriate for me\b",
-            r"\b(?:medical|clinical) advice is outside\b",
-            r"\bis not something that can be done here\b",
-            r"\b(?:not able|unable) to (?:comply|assist|interpret medical)\b",
-            r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte)\b[^.]{0,60}\bnicht\b[^.]{0,40}\b(?:helfen|erstellen|beantworten|schreiben|beschreiben|liefern|erfüllen)\b",
-            r"\bich (?:lehne|muss)\b[^.]{0,40}\b(?:ab|ablehnen)\b",
-            r"\bno (?:puedo|podemos) (?:ayudar|proporcionar|escribir|redactar|generar|describir|cumplir|interpretar|ofrecer|dar)\b",
-            r"\b(?:debo|tengo que) (?:rechazar|negarme)\b",
+            rf"\b{_SELF}(?:'m| am| are|'ll| will)? (?:can't|cannot|can not|could not|couldn't|won't|will not|must not|may not|not be able to|am not able to|unable to|not able to|not allowed to|not permitted to|not going to|not in a position to|do not|don't|not comfortable|would rather not|prefer not to)(?! {_CLINICAL})(?: \w+){{0,2}}? {_TASK}",
+            rf"\b{_SELF} (?:must |have to |has to |need to |will )?(?:respectfully |politely )?(?:declin\w+|refus\w+)\b",
+            rf"\b{_SELF} (?:do|does) not have (?:the )?(?:permission|authori[sz]ation|ability|capability)\b",
+            r"\b(?:request|question|task|prompt)\b[^.]{0,60}\b(?:outside|against|beyond|violates?|not permitted|not allowed|declined|refused|rejected|denied)\b[^.]{0,80}",
+            r"\bwill not be (?:answered|processed|fulfilled|written|issued|generated|drafted|provided)\b",
+            r"\b(?:report|answer|response|text|description|draft)\b[^.,;]{0,20} (?:cannot|can't|can not|will not|must not|may not) be (?:provided|generated|written|issued|produced|drafted|created|supplied)\b",
+            r"\bno (?:report|answer|interpretation|reading|diagnosis|description|draft) (?:will|can|may) be (?:issued|given|provided|written|generated|drafted|offered)\b",
+            r"\b(?:policy|policies|guidelines|rules|terms) (?:do|does|will)? ?(?:not (?:allow|permit)|forbids?|prohibits?|prevents?)\b|\bagainst (?:my|our|the) (?:policy|policies|guidelines|rules)\b",
+            r"\bnot (?:be )?(?:appropriate|comfortable|safe|right) for me\b|\b(?:not|n't) feel comfortable\b|\b(?:outside|beyond) (?:of )?(?:my|the) (?:scope|capabilit\w+|abilit\w+|remit|role|permitted|allowed)\b|\boutside what i\b",
+            r"\b(?:medical|clinical|diagnostic) (?:advice|opinions?|interpretation) (?:is|are) outside\b",
+            r"\bis not something (?:that )?(?:can be done here|i (?:can|am able to|may) )",
+            r"\b(?:not able|unable) to (?:comply|assist|interpret medical|fulfil\w*|help with|provide|generate|complete (?:this|the|your) (?:task|request)|process (?:this|the|your))\b",
+            r"\bas an? (?:ai|artificial|language model|large language|text assistant|virtual assistant|language system)\b[^.]{0,80}\b(?:not|can't|cannot|won't|unable|decline|refuse|must)\b",
+            r"^\W*(?:(?:task|request|i) )?(?:declined?|refused?)\W*$",
+            r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|werde)\b[^.]{0,60}\b(?:nicht|keine?n?)\b[^.]{0,40}\b(?:helfen|erstellen|beantworten|schreiben|beschreiben|liefern|erfüllen|verfassen|geben|ausführen|deuten)\b",
+            r"\b(?:kann|darf|werde) ich\b[^.]{0,60}\b(?:nicht|keine?n?)\b[^.]{0,40}\b(?:helfen|erstellen|beantworten|schreiben|beschreiben|liefern|erfüllen|verfassen|geben|ausführen|deuten)\b",
+            r"\bich (?:lehne|muss)\b[^.]{0,40}\b(?:ab|ablehnen)\b|\banfrage\b[^.]{0,40}\b(?:abgelehnt|nicht beantwort\w+|nicht erfüll\w+)\b",
+            r"\bno (?:puedo|podemos|voy a|me es posible) (?:ayudar|proporcionar|escribir|redactar|generar|describir|cumplir|interpretar|ofrecer|dar|responder|realizar|elaborar)\w*\b",
+            r"\b(?:debo|tengo que|me veo obligado a) (?:rechazar|negarme|declinar)\b|\b(?:solicitud|petición)\b[^.]{0,40}\b(?:rechazada|no puede|no será)\b",
         )
     ),
     re.I,
 )
 
 
+#: A refusal has one of these; most texts have none and skip the grammar.
+_CUES = re.compile(
+    r"n't|\b(?:cannot|can not|not|no|unable|declin|refus|reject|denied|outside|beyond|against|violat|polic|guidelines|rules|terms|as an? (?:ai|art|lan|lar|text|vir)|nicht|keine?n?|lehne|ablehn|abgelehnt|no puedo|no podemos|rechaz|negarme|declinar)", re.I
+)
+
+
 def declines(text: str | None) -> bool:
     """Whether a sentence declines the task itself; limits of the study or view are none."""
-    return bool(_REFUSALS.search((text or "").replace("’", "'")))
+    plain = (text or "").replace("’", "'")
+    return any(_REFUSALS.search(x) for x in _SENTENCE.split(plain) if _CUES.search(x))
 
 
 # Function words that tell the languages apart.
@@ -117,28 +130,48 @@ FUNCTION_WORDS = {
     "de": "der die das und ist sind im am ein eine einen einem einer kein keine nicht mit von vom zur zum zu bei wird werden des dem den auf für sich es durch wegen hat",
     "es": "el los las del y una con se por que en al es está están no como para su hay más sin muestra de la un este lo",
     "fr": "le les du des et une est il au aux en par pas avec pour ce cette chez dans sur montre de la un sont existe qui que",
+    "pt": "o os as da do das dos na no nas nos uma um não com para por em ao é são foi está estão mais sem há se que pelo pela",
+    "nl": "de het een en van is zijn op te met voor niet geen er bij naar door aan als dat dit wordt in uit over",
     "it": "il lo gli dei della delle e una è con per che non nel nella sono di la un si in da come mostra alla al sede",
 }
-_LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_SHARED = Counter(w for v in _LISTS.values() for w in v)
-
-
-def language(text: str) -> str | None:
-    """A script other than Latin, else the language whose function words weigh most; None where none do or two tie."""
-    letters = [c for c in text if c.isalpha()]
-    foreign = Counter(unicodedata.name(c, "?").split(" ")[0] for c in letters if ord(c) > 0x24F)
-    if foreign and 2 * sum(foreign.values()) > len(letters):
-        return foreign.most_common(1)[0][0].lower()
-    score: Counter[str] = Counter()
+_SHARED = Counter(w for v in FUNCTION_WORDS.values() for w in set(v.split()))
+_WEIGHT: dict[str, list[tuple[str, float]]] = {}
+for _language, _words in FUNCTION_WORDS.items():
+    for _w in set(_words.split()):
+        _WEIGHT.setdefault(_w, []).append((_language, 1 / _SHARED[_w]))
+
+
+#: Another language must outweigh the expected one by this factor, as neighbours share words.
+OUTWEIGHS = 1.25
+
+
+@lru_cache(maxsize=100_000)
+def _script_and_scores(text: str) -> tuple[str | None, dict[str, float]]:
+    """The script where it is not Latin, and the weight of each language's function words."""
+    if not text.isascii():
+        letters = [c for c in text if c.isalpha()]
+        foreign = Counter(unicodedata.name(c, "?").split(" ")[0] for c in letters if ord(c) > 0x24F)
+        if 2 * sum(foreign.values()) > len(letters):
+            return foreign.most_common(1)[0][0].lower(), {}
+    score: dict[str, float] = {}
     for w in _WORD.findall(text.lower()):
-        for k, v in _LISTS.items():
-            if w in v:
-                score[k] += 1 / _SHARED[w]
-    top = score.most_common(2)
-    return top[0][0] if top and (len(top) == 1 or top[0][1] > top[1][1]) else None
+        for k, x in _WEIGHT.get(w, ()):
+            score[k] = score.get(k, 0.0) + x
+    return None, score
+
 
+def language(text: str, expected: str | None = None) -> str | None:
+    """A script other than Latin, else the language whose function words weigh most; None where none do or two tie.
 
-_SPLIT = re.compile(r"(?<=[.!?:])\s+|\s*\n\s*")
+    With ``expected``, another language is only named where it clearly outweighs the expected one.
+    """
+    script, score = _script_and_scores(text if len(text) > 400 else re.sub(r"\d+", "0", text))
+    if script or not score:
+        return script
+    top = sorted(score.items(), key=lambda x: -x[1])[:2]
+    if expected and top[0][1] <= OUTWEIGHS * score.get(expected, 0.0):
+        return expected
+    return top[0][0] if len(top) == 1 or top[0][1] > top[1][1] else None
 
 
 def mostly_other(text: str, expected: str | None) -> bool:
@@ -147,9 +180,9 @@ def mostly_other(text: str, expected: str | None) -> bool:
         return False
     plain = re.sub(r"\"[^\"]*\"|“[^”]*”|«[^»]*»", " ", text)
     total = other = 0
-    for sentence in _SPLIT.split(plain):
+    for sentence in _SENTENCE.split(plain):
         n = len(_WORD.findall(sentence))
-        found = language(sentence)
+        found = language(sentence, expected)
         total += n
         other += n if found not in (None, expected) else 0
     return 2 * other > total > 0

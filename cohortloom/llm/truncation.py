@@ -21,7 +21,7 @@ PROSE = (". ", "! ", "? ", ": ")
 LISTED = (";", "|", ". ", "! ", "? ")
 STOP = r"[.!?][\"”)\]]*$"
 #: Marks of omission and loose separators at the very end say nothing by themselves.
-LOOSE = " ;|…\ufffd"
+LOOSE = " ;|…\ufffd\\"
 
 #: Context lengths in words; three is the trigram, longer ones tell apart statements that share their last words.
 LENGTHS = (2, 3, 4, 5, 6, 8)
