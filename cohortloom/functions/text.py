@@ -188,12 +188,12 @@ def bleu(reference: Column, candidate: Column, n: int) -> Column:
     return F.when((F.size(b) == 0) | (overlap(a, b) == 0), 0.0).otherwise(brevity * F.exp(logs))
 
 
-def excerpt(text: Column, cap: int) -> Column:
-    """At most ``cap`` characters: folded, cut before the last blank and marked with an ellipsis."""
+def excerpt(text: Column, cap: int, blank: str = "unavailable") -> Column:
+    """At most ``cap`` characters: folded; a longer text loses its last, possibly partial word and ends in an ellipsis."""
     t = fold(F.coalesce(text, F.lit("")))
     cut = F.substring(t, 1, cap - 4)
-    back = F.when(F.substring(t, cap - 3, 1) == " ", cut).when(F.instr(cut, " ") > 0, F.regexp_replace(cut, r"\s\S*$", "")).otherwise(cut)
-    return F.when(F.length(t) <= cap, t).otherwise(F.concat(F.rtrim(back), F.lit(" ...")))
+    back = F.regexp_replace(cut, r" [^ ]*$", "")
+    return F.when(t == "", blank).when(F.length(t) <= cap, t).otherwise(F.concat(F.when(back == "", cut).otherwise(back), F.lit(" ...")))
 
 
 def within_budget(items: Column, budget: int, separator: str = "; ") -> Column:

@@ -95,13 +95,15 @@ def rotation_control(rows: DataFrame, slot: str, owner: str) -> DataFrame:
 
 
 def length_matched(queries: DataFrame, pool: DataFrame, k: int = 2) -> DataFrame:
-    """``query_id, cand_id, pick``: for each query the pool rows of other owners nearest in text length, without reuse inside a query.
+    """``query_id, cand_id, pick``: for each query the k pool rows of other owners nearest in text length.
 
-    Ties go to the smaller id. The pool meets a query in length order from both sides, so at most ``k`` rows per owner
-    and length are considered on each: candidates per length are reduced before the join.
+    Ties go to the smaller id. Of each length, the pool keeps the first 2k ids with at most k of one owner: they hold
+    the k first of other owners for any query, so nothing is lost, and the pool shrinks to the distinct lengths.
     """
-    by_length = Window.partitionBy("length").orderBy("id")
-    slim = pool.select("id", "owner", "length").withColumn("i", F.row_number().over(by_length)).where(F.col("i") <= 4 * k)
+    of_owner = Window.partitionBy("length", "owner").orderBy("id")
+    of_length = Window.partitionBy("length").orderBy("id")
+    slim = pool.select("id", "owner", "length").withColumn("i", F.row_number().over(of_owner)).where(F.col("i") <= k)
+    slim = slim.withColumn("i", F.row_number().over(of_length)).where(F.col("i") <= 2 * k)
     near = queries.select(F.col("id").alias("query_id"), F.col("owner").alias("qo"), F.col("length").alias("ql")).join(slim, F.col("qo") != F.col("owner"))
     w = Window.partitionBy("query_id").orderBy(F.abs(F.col("ql") - F.col("length")), "id")
     return near.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k).select("query_id", F.col("id").alias("cand_id"), "pick")

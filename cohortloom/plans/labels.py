@@ -159,8 +159,9 @@ def non_reports(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("model_key").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("kind") == "empty").alias("empty"), F.count_if(F.col("kind") == "schema_echo").alias("schema_echo"))
 
 
-_EXCERPT = """SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(CASE WHEN substr(t, 117, 1) = ' ' THEN substr(t, 1, 116) WHEN instr(substr(t, 1, 116), ' ') > 0 THEN regexp_replace(substr(t, 1, 116), '\\s\\S*$', '') ELSE substr(t, 1, 116) END) || ' ...' END AS excerpt
-  FROM (SELECT doc_id, trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g')) AS t FROM documents)"""
+_EXCERPT = """SELECT doc_id, CASE WHEN t = '' THEN 'unavailable' WHEN length(t) <= 120 THEN t
+    ELSE coalesce(nullif(regexp_replace(substr(t, 1, 116), ' [^ ]*$', ''), ''), substr(t, 1, 116)) || ' ...' END AS excerpt
+  FROM (SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g')) AS t FROM documents)"""
 
 
 @query(_EXCERPT)

@@ -106,7 +106,7 @@ def test_overlap_scores(spark):
 
 def test_excerpts_and_budgets(spark):
     text = "alpha beta gamma delta"
-    assert one(spark, T.excerpt(F.lit(text), 100), T.excerpt(F.lit(text), 16), T.excerpt(F.lit("a" * 30), 10), T.excerpt(F.lit(None).cast("string"), 10)) == (text, "alpha beta ...", "aaaaaa ...", "")
+    assert one(spark, T.excerpt(F.lit(text), 100), T.excerpt(F.lit(text), 16), T.excerpt(F.lit("a" * 30), 10), T.excerpt(F.lit(None).cast("string"), 10)) == (text, "alpha beta ...", "aaaaaa ...", "unavailable")
     items = F.array(*map(F.lit, ("one", "three", "five", "x")))
     assert one(spark, T.within_budget(items, 10), T.within_budget(items, 2), T.within_budget(F.lit(None).cast("array<string>"), 9)) == ("one; three", "", "")
 
