@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.session import materialise
+
 
 def draw(seed: int, b: Column, j: Column, n: Column) -> Column:
     """The j-th draw of replicate b from 0 .. n-1, by hash, equal on every engine."""
@@ -15,26 +17,44 @@ def draw(seed: int, b: Column, j: Column, n: Column) -> Column:
     return F.pmod(F.conv(hexed, 16, 10).cast("long"), n)
 
 
+def dense_index(rows: DataFrame, order: Sequence[Column], name: str = "i") -> DataFrame:
+    """``rows`` with their position 0, 1, 2 ... in a total order, without a sort in one task.
+
+    Rows are range-partitioned and written once, so that partition numbers stay; a small table of partition
+    sizes gives each partition its offset, and positions are counted inside partitions. Nulls come first by
+    ``asc_nulls_first`` orders; the order must be total for the positions to be stable.
+    """
+    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    kept = materialise(placed, "ordered")
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return kept.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
+
 def cluster_bootstrap(stats: DataFrame, cluster: str, sums: Sequence[str], metrics: dict[str, Column], replicates: int = 200, seed: int = 4408) -> DataFrame:
     """``metric, observed, ci_low, ci_high``: percentile intervals over whole clusters drawn with replacement.
 
-    Sufficient statistics are summed per cluster before anything is drawn. The draws of a replicate are counted per
-    cluster index first, so what is joined is one row per drawn cluster, and each replicate reduces to its sums.
-    Intervals are null with fewer than two clusters. Clusters with a null id are one cluster.
+    Sufficient statistics are summed per cluster before anything is drawn. The draws are a distributed range, counted per
+    replicate and cluster index first, so what is joined is one row per drawn cluster, and each replicate reduces to its
+    sums. Intervals are null with fewer than two clusters; an empty table has null metrics. Rows with a null cluster are one cluster.
     """
+    spark = stats.sparkSession
     per = stats.groupBy(cluster).agg(*(F.sum(c).alias(c) for c in sums))
-    indexed = per.withColumn("i", F.row_number().over(Window.orderBy(F.col(cluster).asc_nulls_first())) - 1)
-    n = per.agg(F.count(F.lit(1)).alias("n"))
-    grid = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).where("n > 0").select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    drawn = grid.select("b", draw(seed, F.col("b"), F.col("j"), F.col("n")).alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("times"))
+    indexed = materialise(dense_index(per, [F.col(cluster).asc_nulls_first()]), "clusters")
+    n = indexed.count()
+    at = F.col("id")
+    drawn = spark.range(replicates * n).select(F.floor(at / max(n, 1)).alias("b"), F.pmod(at, F.lit(max(n, 1))).alias("j"))
+    drawn = drawn.select("b", draw(seed, F.col("b"), F.col("j"), F.lit(max(n, 1))).alias("i")).groupBy("b", "i").agg(F.count(F.lit(1)).alias("times"))
     total = drawn.join(indexed, "i").groupBy("b").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in sums))
     names = list(metrics)
     wide = total.select(*(v.alias(k) for k, v in metrics.items()))
     stack = lambda df, value: df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias(value)) for k in names))).alias("x")).select("x.*")
-    whole = per.agg(*(F.sum(c).alias(c) for c in sums)).select(*(v.alias(k) for k, v in metrics.items()))
+    whole = indexed.agg(*(F.sum(c).alias(c) for c in sums)).select(*(v.alias(k) for k, v in metrics.items()))
     limits = stack(wide, "v").groupBy("metric").agg(F.expr("percentile(v, 0.025)").alias("lo"), F.expr("percentile(v, 0.975)").alias("hi"))
-    out = stack(whole, "observed").join(limits, "metric", "left").crossJoin(n)
-    enough = F.col("n") >= 2
+    out = stack(whole, "observed").join(limits, "metric", "left")
+    enough = F.lit(n >= 2)
     return out.select("metric", F.round("observed", 9).alias("observed"), F.when(enough, F.round("lo", 9)).alias("ci_low"), F.when(enough, F.round("hi", 9)).alias("ci_high"))
 
 
@@ -87,10 +107,10 @@ def rotation_control(rows: DataFrame, slot: str, owner: str) -> DataFrame:
     Owner-sorted slots are rotated by the size of the largest owner.
     """
     s = rows.select(F.col(slot).alias("slot"), F.col(owner).alias("owner"))
-    big = s.groupBy("owner").count().agg(F.max("count").alias("k"))
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    i = s.withColumn("i", F.row_number().over(Window.orderBy(F.col("owner").asc_nulls_first(), "slot")) - 1)
-    moved = i.crossJoin(big).crossJoin(n).select("slot", F.pmod(F.col("i") + F.col("k"), F.col("n")).alias("d"))
+    i = materialise(dense_index(s, [F.col("owner").asc_nulls_first(), F.col("slot").asc_nulls_first()]), "slots")
+    sizes = i.groupBy("owner").count().agg(F.max("count").alias("k"), F.sum("count").alias("n")).first()
+    k, n = sizes.k or 0, sizes.n or 1
+    moved = i.select("slot", F.pmod(F.col("i") + F.lit(k), F.lit(n)).alias("d"))
     return moved.join(i.select(F.col("i").alias("d"), F.col("slot").alias("donor")), "d").select("slot", "donor")
 
 

@@ -97,6 +97,21 @@ def citation_validity(cited: Column, sources: Column) -> Column:
     return F.when(F.size(cited) > 0, valid / F.size(cited)).when(F.size(sources) == 0, 1.0).otherwise(0.0)
 
 
+def citations(rows: DataFrame, key: str, signature: str, cited: Column, sources: DataFrame) -> DataFrame:
+    """``key, validity`` by :func:`citation_validity`'s rule, without gathering the sources of a signature.
+
+    ``sources`` has ``signature`` and ``source``. Cited sources meet the distinct known ones as rows, so a signature with
+    very many sources stays spread out. A null signature has no sources; nulls among the cited are cited in vain.
+    """
+    known = sources.select(F.col("signature").alias("_g"), F.col("source").alias("_s")).where("_g IS NOT NULL AND _s IS NOT NULL").distinct()
+    some = known.select("_g").distinct().withColumn("_some", F.lit(True))
+    base = rows.select(key, F.col(signature).alias("_g"), cited.alias("_c"))
+    each = base.select(key, "_g", F.explode_outer("_c").alias("_s"), (F.size("_c") > 0).alias("_any"))
+    met = each.join(known.withColumn("_ok", F.lit(1)), ["_g", "_s"], "left").join(some, "_g", "left")
+    per = met.groupBy(key).agg(F.max("_any").alias("_any"), F.count("_ok").alias("_valid"), F.count(F.lit(1)).alias("_n"), F.max("_some").alias("_some"))
+    return per.select(key, F.when(F.col("_any"), F.col("_valid") / F.col("_n")).when(F.col("_some"), 0.0).otherwise(1.0).alias("validity"))
+
+
 def prevalence(rows: DataFrame, labels: Column, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``label, positive, n, prevalence`` of every named label, 0 for those that never occur."""
     total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -140,12 +140,13 @@ def row_rates(spark: SparkSession, d: str) -> DataFrame:
   FROM c LEFT JOIN s USING (context_signature)"""
 )
 def citation_validity(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "anchor").where("context_signature IS NOT NULL AND anchor_id IS NOT NULL").groupBy("context_signature").agg(F.collect_set("anchor_id").alias("src"))
-    empty = F.array().cast("array<string>")
-    cited = F.flatten(F.transform(F.coalesce("evidence_trace", F.expr("array()")), lambda x: F.coalesce(x["source_ids"], empty)))
-    rows = table(spark, d, "generation_attempts").where("status = 'ok'").select("attempt_id", "context_signature", cited.alias("cited"))
-    validity = labels.citation_validity(F.col("cited"), F.coalesce("src", empty))
-    return rows.join(src, "context_signature", "left").select("attempt_id", F.round(validity, 9).alias("validity"))
+    return citations(table(spark, d, "generation_attempts").where("status = 'ok'"), spark, d).select("attempt_id", F.round("validity", 9).alias("validity"))
+
+
+def citations(attempts_: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "anchor").select(F.col("context_signature").alias("signature"), F.col("anchor_id").alias("source"))
+    cited = F.flatten(F.transform(F.coalesce("evidence_trace", F.expr("array()")), lambda x: F.coalesce(x["source_ids"], F.array().cast("array<string>"))))
+    return labels.citations(attempts_, "attempt_id", "context_signature", cited, sources)
 
 
 @query(

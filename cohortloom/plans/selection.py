@@ -9,8 +9,7 @@ from cohortloom.functions import parsing, prompts
 from cohortloom.functions import text as T
 from cohortloom.functions.vector import sign_codes
 from cohortloom.operators import attempts, codes, contexts, controls, partition, selection
-from cohortloom.operators.labels import citation_validity
-from cohortloom.plans.labels import _mentions
+from cohortloom.plans.labels import _mentions, citations
 from cohortloom.plans.queries import query
 from cohortloom.sources.tables import table
 
@@ -100,12 +99,9 @@ def coverage_first_cohort(spark: SparkSession, d: str) -> DataFrame:
   FROM v a JOIN v b USING (model_key, sample_id, method) WHERE a.condition = 'full_trimodal' AND b.condition = 'same_only' GROUP BY model_key"""
 )
 def paired_effect(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "anchor").where("context_signature IS NOT NULL AND anchor_id IS NOT NULL").groupBy("context_signature").agg(F.collect_set("anchor_id").alias("src"))
-    empty = F.array().cast("array<string>")
-    cited = F.flatten(F.transform(F.coalesce("evidence_trace", F.expr("array()")), lambda x: F.coalesce(x["source_ids"], empty)))
-    rows = table(spark, d, "generation_attempts").where("status = 'ok'").withColumn("cited", cited).join(src, "context_signature", "left")
+    rows = table(spark, d, "generation_attempts").where("status = 'ok'")
     key = ["model_key", "sample_id", "method"]
-    v = rows.select(*key, contexts.folded_condition().alias("condition"), citation_validity(F.col("cited"), F.coalesce("src", empty)).alias("v"))
+    v = rows.select("attempt_id", *key, contexts.folded_condition().alias("condition")).join(citations(rows, spark, d), "attempt_id").withColumnRenamed("validity", "v")
     pairs = attempts.paired(v.groupBy(*key, "condition").agg(F.avg("v").alias("v")), "condition", "full_trimodal", "same_only", key, [])
     return selection.paired_effect(pairs, ["model_key"], "v_a", "v_b")
 
