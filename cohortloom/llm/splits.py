@@ -21,6 +21,8 @@ from cohortloom.session import materialise
 SPLITS = ("train", "val", "test")
 #: Rounds after which star contraction must have converged; each halves the longest remaining path.
 MAX_ROUNDS = 60
+#: Groups in one hash range bucket of a bundle, on average, if all were in one bundle.
+BUCKET_GROUPS = 20_000
 
 
 def recorded_split(column: str = "split") -> Column:
@@ -170,8 +172,8 @@ def assign_splits(
     quarters = [F.round(4 * F.col(f"r_{n}") / F.col("size")).cast("int").alias(f"q_{n}") for n in names]
     profiled = materialise(per.select("group_id", "size", *quarters), "profiles")
     bundle = ["size", *(f"q_{n}" for n in names)]
-    buckets = 256
-    placed = profiled.withColumn("_h", F.xxhash64("group_id")).withColumn("_b", F.pmod(F.shiftright("_h", 32), F.lit(buckets)))
+    buckets = max(16, profiled.count() // BUCKET_GROUPS)
+    placed = profiled.withColumn("_h", F.xxhash64("group_id")).withColumn("_b", F.floor(F.shiftrightunsigned("_h", 33) * F.lit(buckets) / F.lit(1 << 31)))
     counts = materialise(placed.groupBy(*bundle, "_b").agg(F.count(F.lit(1)).alias("n")), "bundles")
     table = counts.groupBy(*bundle).agg(F.sum("n").alias("n")).orderBy(*bundle).collect()
     plan = allocate([(r["size"], r["n"], tuple(r[f"q_{x}"] * r["size"] / 4 for x in names)) for r in table], shares)
@@ -185,7 +187,7 @@ def assign_splits(
     limits = rows.sparkSession.createDataFrame(ranges, type_)
     before = Window.partitionBy(*bundle).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*bundle, "_b").orderBy("_h", "group_id")
+    inside = Window.partitionBy(*bundle, "_b").orderBy(F.shiftrightunsigned("_h", 33), "_h", "group_id")
     ranked = placed.withColumn("_i", F.row_number().over(inside)).join(offsets, [*bundle, "_b"]).join(limits, bundle)
     place = F.col("_before") + F.col("_i")
     chosen = F.lit(names[-1])
