@@ -60,13 +60,14 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def mentions(text: Column, pattern: str) -> Column:
+def mentions(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start, stop>>`` of the pattern's matches from the left, counted from 0, in characters.
 
-    Built from the text before each match and the match itself, since no primitive returns offsets.
+    Built from the text before each match and the match itself, since no primitive returns offsets. A pattern may be
+    a column; it is then used as it stands.
     """
-    lazy = f"{_U}(?s)(.*?)(?:{pattern})"
-    whole, before = (F.regexp_extract_all(text, F.lit(lazy), F.lit(g)) for g in (0, 1))
+    lazy = F.concat(F.lit("(?s)(.*?)(?:"), pattern, F.lit(")")) if isinstance(pattern, Column) else F.lit(f"{_U}(?s)(.*?)(?:{pattern})")
+    whole, before = (F.regexp_extract_all(text, lazy, F.lit(g)) for g in (0, 1))
     parts = F.arrays_zip(F.transform(whole, F.length).alias("w"), F.transform(before, F.length).alias("b"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
     return F.aggregate(
@@ -94,14 +95,26 @@ def assertion(text: Column, start: Column, stop: Column, absent_first: bool = Fa
 
 def assertions(text: Column, rules: Mapping[str, Sequence[str]], absent_first: bool = False) -> Column:
     """``array<struct<concept, status>>``, distinct; a concept may have several statuses. Null text has none."""
-    value = F.lower(fold(F.coalesce(text, F.lit(""))))
-    found = []
-    for concept, patterns in rules.items():
-        for pattern in patterns:
-            status = lambda m: F.struct(F.lit(concept).alias("concept"), assertion(value, m["start"], m["stop"], absent_first).alias("status"))  # noqa: B023, E731
-            empty = F.array().cast("array<struct<concept:string,status:string>>")
-            found.append(F.when(value.rlike(_U + pattern), F.transform(mentions(value, pattern), status)).otherwise(empty))
-    return F.array_distinct(F.flatten(F.array(*found)))
+    return assertions_in(assertion_text(text), rules, absent_first)
+
+
+def assertion_text(text: Column) -> Column:
+    """The folded lower-case text that assertions are read from."""
+    return F.lower(fold(F.coalesce(text, F.lit(""))))
+
+
+def assertions_in(value: Column, rules: Mapping[str, Sequence[str]], absent_first: bool = False) -> Column:
+    """:func:`assertions` of a text folded before, as a column of its own: each pattern reads it again.
+
+    The rules are data, an array the expression runs over, so that the plan has one copy of it and not one per pattern.
+    """
+    table = F.array(*(F.struct(F.lit(c).alias("concept"), F.lit(_U + p).alias("pattern")) for c, ps in rules.items() for p in ps))
+    hits = F.filter(table, lambda r: F.rlike(value, r["pattern"]))
+
+    def states(r: Column) -> Column:
+        return F.transform(mentions(value, r["pattern"]), lambda m: F.struct(r["concept"].alias("concept"), assertion(value, m["start"], m["stop"], absent_first).alias("status")))
+
+    return F.array_distinct(F.flatten(F.transform(hits, states)))
 
 
 def present(asserted: Column, normal: str) -> Column:

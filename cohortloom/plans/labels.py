@@ -39,8 +39,14 @@ def _mentions(source: str, rules: Mapping[str, Sequence[str]], name: str = "asse
 
 
 def _asserted(rows: DataFrame, text: str, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``text`` column with its assertions, each distinct text once: copies of a text cost one evaluation."""
-    return rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn("asserted", T.assertions(F.col(text), rules))
+    """``text, rows, asserted``: each distinct text once, as copies cost one evaluation.
+
+    The number of partitions is the session's own: the texts are few and small, but each costs many patterns, so they
+    must not be coalesced by size.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.where(F.col(text).isNotNull()).groupBy(text).agg(F.count(F.lit(1)).alias("rows")).repartition(partitions)
+    return texts.withColumn("_value", T.assertion_text(F.col(text))).withColumn("asserted", T.assertions_in(F.col("_value"), rules)).drop("_value")
 
 
 @query(
@@ -59,8 +65,7 @@ def assertion_status_ecg(spark: SparkSession, d: str) -> DataFrame:
 )
 def assertion_counts_cxr(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "anchor").select("anchor_row_id", "cxr_report")
-    per = a.groupBy("cxr_report").agg(F.count(F.lit(1)).alias("rows")).withColumn("asserted", T.assertions(F.col("cxr_report"), T.CXR_RULES))
-    return per.select("rows", F.explode("asserted").alias("x")).groupBy("x.concept", "x.status").agg(F.sum("rows").alias("n"))
+    return _asserted(a, "cxr_report", T.CXR_RULES).select("rows", F.explode("asserted").alias("x")).groupBy("x.concept", "x.status").agg(F.sum("rows").alias("n"))
 
 
 def _present(name: str, normal: str, out: str) -> str:
