@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="cohortloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(made)
     return sc.getCheckpointDir()
 
