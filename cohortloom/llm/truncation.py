@@ -3,8 +3,9 @@
 Statements of all texts are counted once each with their weight, so repeated texts cost one row. For every
 position of a closed statement the last words are a context that either goes on or ends there. The last
 context of each text is looked up: the longest one with enough support decides, and it is cut where the
-context goes on often and almost never ends. Texts are read twice: for the statements and for the last ones. A last word never seen after its predecessor is a fragment if
-the words before it are followed by longer words that it begins. All of it is SQL over hashed contexts.
+context goes on often and almost never ends. A last word never seen after its predecessor is a fragment if
+the words before it are followed by longer words that it begins. All of it is SQL over hashed contexts. Texts
+are read twice, for the statements and for the last ones.
 """
 
 from __future__ import annotations
