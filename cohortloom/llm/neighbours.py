@@ -115,9 +115,10 @@ def _collisions(q: np.ndarray, m: np.ndarray, width: int, least: int) -> tuple[n
 def _part_pairs(ids: np.ndarray, rows: np.ndarray, members: int, width: int, least: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Colliding pairs a < b of one cell part: its members (first) among each other, and queries against members."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(ids), block):
-        start = at if at < members else 0
-        i, k = _collisions(rows[:, at : at + block], rows[:, start:members], width, least)
+    # no block holds both: members meet the members from their own block on, queries meet all
+    for at in (*range(0, members, block), *range(members, len(ids), block)):
+        start, end = (at, min(at + block, members)) if at < members else (0, at + block)
+        i, k = _collisions(rows[:, at:end], rows[:, start:members], width, least)
         i, k = i + at, k + start
         # members meet once in row order; a query from another part is kept where its id is the smaller
         keep = np.where(i < members, k > i, ids[i] < ids[k])

@@ -148,6 +148,14 @@ def test_large_cells_lose_no_pair(spark, monkeypatch):
     assert whole == sorted(brute(vectors, owners, 10, 0.95))
 
 
+@pytest.mark.parametrize("members", [0, 1, 8, 10, 23, 40])
+def test_part_pairs_where_a_block_ends_behind_the_members(members):
+    at = np.random.default_rng(3).permutation(40)
+    a, b = neighbours._part_pairs(at, np.zeros((neighbours.COUNTED, 40), np.int16), members, 1, neighbours.COUNTED, block=8)
+    want = [(min(at[i], at[k]), max(at[i], at[k])) for k in range(members) for i in range(k + 1, 40) if i < members or at[i] < at[k]]
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(want)
+
+
 # ---- 3: splits
 
 
