@@ -397,3 +397,21 @@ def test_residue_documents(spark, sf):
     assert residue.clean_documents(d).count() == 63 and residue.clean_documents(d).columns == d.columns
     assert residue.residue_documents(d.limit(0)).isEmpty()
     assert residue.residue_documents(d.where("doc_id < 100")).isEmpty()
+
+
+def test_validation_counts_all_statements(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, f"source {'abcdefghijkl'[i % 12]}", f"The {w} is normal.\nNo {w} is seen.\n{w} ward: {{{{ward}}}}") for i, w in enumerate(words)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    fits = []
+    monkeypatch.setattr(residue, "train", lambda s, *_: fits.append(len(s)) or (np.zeros(1 << residue.BITS), 0.5))
+    for name in ("MAX_POSITIVE", "MAX_NEGATIVE", "MAX_FREQUENT"):
+        monkeypatch.setattr(residue, name, 5)
+    parts = {r.part: r for r in residue.validation(d).collect()}
+    assert set(parts) == {"seen", "held_out"} and 0 < fits[0] <= 15
+    assert sum(r.statements for r in parts.values()) == 300 and sum(r.voted for r in parts.values()) == 100
+    # all are hits at the margin, none at the probability asked for
+    assert all((r.precision, r.recall, r.found_precision, r.found_recall) == (pytest.approx(1 / 3), 1, 0, 0) for r in parts.values())
+    assert residue.validation(d.limit(0)).isEmpty()
+    clean = residue.validation(d.selectExpr("doc_id", "source", "substring_index(text, '\n', 1) AS text")).collect()
+    assert sum(r.statements for r in clean) == 100 and all((r.voted, r.precision, r.found_precision) == (0, 0, 0) for r in clean)
