@@ -12,11 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 def first_deliveries(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
     """One copy of each message of a stream within the watermark; a copy later than that is late data and dropped.
 
-    Batch deduplication over all stored messages remains the exact form (see operators.delivery).
+    A message with a null key is nobody's copy, as in the batch form. Batch deduplication over all stored messages remains
+    the exact form (see operators.delivery).
     """
     from cohortloom.operators.delivery import folded
 
-    named = stream.withColumn("_key", F.concat_ws("\u0001", *(folded(k) for k in keys)))
+    parts = [folded(k) for k in keys]
+    unknown = parts[0].isNull()
+    for part in parts[1:]:
+        unknown = unknown | part.isNull()
+    # a key of its own instead of a second branch, whose watermark would stand still while it gets no rows
+    own = F.when(unknown, F.expr("uuid()"))
+    named = stream.withColumn("_key", F.struct(own.alias("own"), *(part.alias(f"k{i}") for i, part in enumerate(parts))))
     return named.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 

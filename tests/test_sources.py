@@ -108,3 +108,15 @@ def test_streaming(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.key, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_first_deliveries_keep_null_keys(spark, tmp_path):
+    rows = [(1, "s", "c", None), (2, "s", "c", None), (3, "s", None, "c"), (4, "s", "c", "x"), (5, " S", "C", "x "), (6, None, None, None), (7, None, None, None), (8, "s", "c\u0001x", ""), (9, "s", "c", "\u0001x")]
+    df = spark.createDataFrame(rows, "delivery_id long, sample_id string, condition string, context_signature string").withColumn("at", F.to_timestamp(F.lit("2024-01-01")))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = attempt_log.first_deliveries(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["sample_id", "condition", "context_signature"], "at", "1 hour")
+    q = stream.writeStream.format("memory").queryName("null_keys").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert q.exception() is None and stream.columns == df.columns
+    kept = sorted(r.delivery_id for r in spark.table("null_keys").collect())
+    assert len(kept) == 8 and len({4, 5} & set(kept)) == 1
