@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,9 @@ BITS = 18
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FREQUENT = 15_000, 30_000, 15_000
 #: A statement is residue from this probability on.
 MIN_PROBABILITY = 0.7
+#: A statement of more tokens is also scored in windows of so many, each half over the next, and around each match of a rule
+#: with so many tokens on either side: no length hides residue.
+WINDOW, AROUND = 32, 2
 #: A share of the sources ("hosts") is held out to validate the classifier.
 HELD_OUT = 0.25
 
@@ -115,16 +119,27 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
 
 def features(statement: str, voted: bool, documents: int = 1) -> np.ndarray:
     """Hashed word, number and mark n-grams up to three, with length, title, frequency and vote features."""
-    tokens = ["0" * min(len(t), 3) if t.isdigit() else t.lower() for t in _TOKEN.findall(statement)]
-    padded = ["^", *tokens, "$"]
+    return _row(_folded(_TOKEN.findall(statement)), statement.upper() == statement, _ended(statement), voted, documents)
+
+
+def _folded(tokens: Sequence[str]) -> list[str]:
+    return ["0" * min(len(t), 3) if t.isdigit() else t.lower() for t in tokens]
+
+
+def _ended(statement: str) -> bool:
+    return bool(re.search(r"[.!?]\W*$", statement))
+
+
+def _row(tokens: Sequence[str], upper: bool, ended: bool, voted: bool, documents: int, first: bool = True, last: bool = True) -> np.ndarray:
+    padded = ["^"] * first + [*tokens] + ["$"] * last
     names = [f"1{t}" for t in tokens]
     names += [f"{n}{' '.join(padded[i : i + n])}" for n in (2, 3) for i in range(len(padded) - n + 1)]
     words = [t for t in tokens if t.isalpha()]
     names.append(f"len{min(len(tokens).bit_length(), 7)}")
     names.append(f"marks{min(4, sum(not t.isalnum() for t in tokens) * 10 // max(1, len(tokens)))}")
-    if words and statement.upper() == statement:
+    if words and upper:
         names.append("upper")
-    if not re.search(r"[.!?]\W*$", statement):
+    if not ended:
         names.append("title" if len(words) < 7 else "open")
     names.append(f"seen{int(documents).bit_length()}")
     if voted:
@@ -132,11 +147,40 @@ def features(statement: str, voted: bool, documents: int = 1) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names), dtype=np.int64, count=len(names)))
 
 
+def scored_rows(statement: str, voted: bool, documents: int = 1) -> Iterator[np.ndarray]:
+    """The feature rows of a statement: its own and, where it is long, those of overlapping windows over all of it.
+
+    Rules are judged on the whole statement, as some hold at its ends only. A window has the vote of the rules that match
+    in it, and each match is scored with the tokens around it, as a window's other tokens may outweigh it.
+    """
+    yield features(statement, voted, documents)
+    found = list(_TOKEN.finditer(statement))
+    if len(found) <= WINDOW:
+        return
+    step = WINDOW // 2
+    spans = {(at, min(at + WINDOW, len(found))): False for at in range(0, len(found) - step, step)}
+    begins, ends = [t.start() for t in found], [t.end() for t in found]
+    for a, b in (m.span() for r in RULES for m in r.finditer(statement)) if voted else ():
+        i, k = bisect_right(ends, a), bisect_left(begins, b) - 1  # first and last token of the match
+        if i <= k:
+            for at in range(max(0, (i - WINDOW) // step + 1) * step, min(k + 1, len(found) - step), step):
+                spans[at, min(at + WINDOW, len(found))] = True
+            spans[max(0, i - AROUND), min(k + 1 + AROUND, len(found))] = True
+    tokens, upper, ended = _folded([t.group() for t in found]), statement.upper() == statement, _ended(statement)
+    for (at, end), hit in spans.items():
+        yield _row(tokens[at:end], upper, ended, hit, documents, at == 0, end == len(tokens))
+
+
 def _score(weights: np.ndarray, bias: float, rows: Sequence[np.ndarray]) -> np.ndarray:
     """Margins; a row's weights are scaled by the root of its feature count so that length alone decides nothing."""
     return np.array([weights[r].sum() / np.sqrt(len(r)) + bias for r in rows])
 
 
+def _margins(weights: np.ndarray, bias: float, statements: Sequence[str], voted: Sequence[bool], seen: Sequence[int]) -> np.ndarray:
+    """The margin of each statement: the largest of its rows."""
+    return np.array([max(_score(weights, bias, [r])[0] for r in scored_rows(s, bool(v), n)) for s, v, n in zip(statements, voted, seen, strict=True)])
+
+
 def train(statements: Sequence[str], voted: Sequence[bool], seen: Sequence[int] | None = None, epochs: int = 6, l2: float = 1e-5, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression, by AdaGrad over mini-batches with balanced classes."""
     rng = np.random.default_rng(seed)
@@ -209,7 +253,7 @@ def residue_statements(documents: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            margin = _score(weights, bias, [features(s, bool(v), n) for s, v, n in zip(p.statement, p.voted, p.seen, strict=True)])
+            margin = _margins(weights, bias, p.statement, p.voted, p.seen)
             out = pd.DataFrame({"statement": p.statement, "probability": 1 / (1 + np.exp(-np.clip(margin, -30, 30)))})
             yield out[out.probability >= MIN_PROBABILITY]
 
@@ -248,11 +292,11 @@ def validation(documents: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            hidden = [features(s, False, n) for s, n in zip(p.statement, p.seen, strict=True)]
-            shown = [features(s, True, n) if v else f for s, v, n, f in zip(p.statement, p.voted, p.seen, hidden, strict=True)]
-            margin = _score(weights, bias, shown)
-            found = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) >= MIN_PROBABILITY
-            yield p[["part", "voted"]].assign(alone=fitted & (_score(weights, bias, hidden) >= 0), found=fitted & found)
+            hidden = _margins(weights, bias, p.statement, [False] * len(p), p.seen)
+            shown, v = hidden.copy(), p[p.voted]
+            shown[p.voted.to_numpy(dtype=bool)] = _margins(weights, bias, v.statement, v.voted, v.seen)
+            found = 1 / (1 + np.exp(-np.clip(shown, -30, 30))) >= MIN_PROBABILITY
+            yield p[["part", "voted"]].assign(alone=fitted & (hidden >= 0), found=fitted & found)
 
     judged = voted.mapInPandas(judge, "part string, voted boolean, alone boolean, found boolean")
     right = lambda c: F.count_if(F.col(c) & F.col("voted"))

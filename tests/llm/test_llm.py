@@ -415,3 +415,29 @@ def test_validation_counts_all_statements(spark, monkeypatch):
     assert residue.validation(d.limit(0)).isEmpty()
     clean = residue.validation(d.selectExpr("doc_id", "source", "substring_index(text, '\n', 1) AS text")).collect()
     assert sum(r.statements for r in clean) == 100 and all((r.voted, r.precision, r.found_precision) == (0, 0, 0) for r in clean)
+
+
+LONG_TERMS = [f"{a} {b} {c}" for a in ("heart", "lung", "aorta", "bone", "apex") for b in ("clear", "large", "normal", "stable") for c in ("today", "again", "as before", "at rest", "on review")]
+
+
+def test_scored_rows_cover_a_long_statement():
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    for n in (0, 1, 32, 33, 48, 49, 300):
+        rows = list(residue.scored_rows(" ".join(words[:n]), False))
+        whole = set(residue.features(" ".join(words[:n]), False).tolist())
+        assert set(rows[0].tolist()) == whole and len(rows) == (1 if n <= 32 else 1 + -(-(n - 16) // 16))
+        grams = {x for i in range(n) for x in residue._row(words[i : i + 3], False, True, False, 1, False, False).tolist()}
+        assert n <= 32 or grams & whole <= {x for r in rows[1:] for x in r.tolist()}
+
+
+def test_residue_in_one_very_long_line(spark, monkeypatch):
+    short = [f"The {t} in view {i}." for i, t in enumerate(LONG_TERMS)] + [f"No {t} is seen." for t in LONG_TERMS] + LONG_TERMS
+    short += [" ".join(LONG_TERMS[k : k + n]) for n in range(2, 9) for k in range(0, 90, 13)]
+    bad = [f"{t}: {{{{ward}}}}" for t in LONG_TERMS[:40]] + [f"HTTP 504: the {t} page could not be found." for t in LONG_TERMS[:40]]
+    fitted = residue.train(short + bad, [False] * len(short) + [True] * len(bad))
+    monkeypatch.setattr(residue, "train", lambda *_: fitted)  # long lines are no part of the sample
+    r = random.Random(1)
+    line = lambda: " ".join(r.choice(LONG_TERMS) for _ in range(3000))
+    rows = [(0, line()), (1, f"{line()} ward: {{{{ward}}}} {line()}"), (2, f"{line()} ward: {{{{ward}}}}"), (3, f"HTTP 504: the page could not be found {line()}"), (4, f"{line()} 504: {line()}")]
+    found = residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a")))
+    assert ids(found, "doc_id") == [(1,), (2,), (3,)]
