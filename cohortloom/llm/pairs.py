@@ -188,17 +188,24 @@ def mostly_other(text: str, expected: str | None) -> bool:
     return 2 * other > total > 0
 
 
-def tiled_share(pattern: Sequence[str], text: Sequence[str], min_tile: int = MIN_TILE) -> float:
-    """Share of ``pattern`` that greedy string tiling covers with ``text``: longest common runs first, each word once."""
+def tiled_share(pattern: Sequence[str], text: Sequence[str], min_tile: int = MIN_TILE, times: Sequence[int] | None = None, least: float = 0.0) -> float:
+    """Share of ``pattern`` that greedy string tiling covers with ``text``: longest common runs first, each word once.
+
+    ``times`` weighs the words of the pattern. A share that can't reach ``least`` is given as 0.
+    """
     if not pattern:
         return 0.0
+    times = [1] * len(pattern) if times is None else times
     size = min(min_tile, len(pattern))
     at: dict[tuple[str, ...], list[int]] = {}
     for j in range(len(text) - size + 1):
         at.setdefault(tuple(text[j : j + size]), []).append(j)
-    shingles = len(pattern) - size + 1
-    if sum(tuple(pattern[i : i + size]) in at for i in range(shingles)) < 0.3 * shingles:
-        return 0.0  # tiles can't cover enough
+    within = [False] * len(pattern)
+    for i in range(len(pattern) - size + 1):
+        if tuple(pattern[i : i + size]) in at:
+            within[i : i + size] = [True] * size
+    if sum(n for n, x in zip(times, within, strict=True) if x) < least * sum(times):
+        return 0.0  # tiles cover words of matching shingles only: not enough for a copy
     used_p, used_t = [False] * len(pattern), [False] * len(text)
     while True:
         best: tuple[int, int, int] = (size - 1, 0, 0)
@@ -214,7 +221,7 @@ def tiled_share(pattern: Sequence[str], text: Sequence[str], min_tile: int = MIN
                         best, reach = (n, i, j), n
             i += reach
         if best[0] < size:
-            return sum(used_p) / len(pattern)
+            return sum(n for n, x in zip(times, used_p, strict=True) if x) / sum(times)
         n, i, j = best
         used_p[i : i + n] = used_t[j : j + n] = [True] * n
 
@@ -226,6 +233,12 @@ def _tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _copied_share(body: str, text: Sequence[str]) -> float:
+    """Tiled share of a report; a sentence that comes again counts as its first copy does."""
+    found = Counter(x for x in (tuple(_tokens(s)) for s in _SENTENCE.split(body)) if x)
+    return tiled_share([w for x in found for w in x], text, times=[n for x, n in found.items() for _ in x], least=COPIED)
+
+
 def pair_defect(prompt: str | None, report: str | None, claims: Sequence[str | None] | None) -> str | None:
     """The defect of one pair by content and structure, or None; ``truncated`` only where structure shows it.
 
@@ -239,11 +252,11 @@ def pair_defect(prompt: str | None, report: str | None, claims: Sequence[str | N
     instruction = "\n".join(x for x in prompt.splitlines() if not _EVIDENCE_LINE.match(x))
     body = re.sub(r"^\W*report\W*:\s*", "", _MARKUP.sub(" ", report), flags=re.I)
     whole = _tokens(prompt)
-    if tiled_share(_tokens(body), whole) >= COPIED:
+    if _copied_share(body, whole) >= COPIED:
         return "copied_prompt"
     if claims:
         asked = _tokens(instruction)
-        if all(tiled_share(_tokens(c or ""), asked) >= COPIED for c in claims):
+        if all(tiled_share(_tokens(c or ""), asked, least=COPIED) >= COPIED for c in claims):
             return "copied_prompt"
     expected = language(instruction)
     if mostly_other(body, expected) or (claims and all(mostly_other(c or "", expected) for c in claims)):

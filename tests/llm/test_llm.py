@@ -74,6 +74,18 @@ def test_pushdown_and_tiling():
         assert 0 <= pairs.tiled_share(p, t, 2) * len(p) <= min(len(p), max(len(t), 1))
 
 
+def test_copies_in_short_pieces_and_over_and_over():
+    words = [f"w{i}" for i in range(100)]
+    pieces = [words[i : i + 4] for i in range(0, 100, 4)][::-1]
+    assert pairs.tiled_share(sum(pieces, []), words) == 1.0
+    assert pairs.tiled_share([w for p in pieces for w in (*p, "x")], words) == 0.8
+    again = "State conflicts openly and keep every claim tied to an anchor id. "
+    assert pairs.pair_defect(PROMPT, again * 9, []) == "copied_prompt"
+    assert pairs.pair_defect(PROMPT, again * 9 + GOOD, []) == "copied_prompt"
+    assert pairs.pair_defect(PROMPT, again + GOOD * 2, []) is None
+    assert pairs.pair_defect(PROMPT, GOOD * 9, []) is None
+
+
 ATTEMPT = "attempt_id long, prompt string, status string, generated_report string, evidence_trace array<struct<claim string, source_ids array<string>>>, text string"
 
 
