@@ -228,15 +228,6 @@ def section(text: Column) -> Column:
     return F.coalesce(part("impression|conclusion"), part("findings"), F.trim(t))
 
 
-def visible_response(text: Column) -> Column:
-    """What a reader sees: no reasoning, no unfinished reasoning, the last final channel, no control tokens."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.element_at(F.split(t, r"(?i)<\|channel\|>\s*final\s*<\|message\|>", -1), -1)
-    t = F.regexp_replace(t, r"(?is)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"(?is)<think>.*$", "")
-    return F.trim(F.regexp_replace(t, r"<\|[^|>]*\|>|</s>", ""))
-
-
 def join_statements(*columns: Column) -> Column:
     """Distinct non-blank statements in first-seen order."""
     folded = F.filter(F.array(*(fold(c) for c in columns)), lambda x: x.isNotNull() & (x != ""))

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.session import materialise
+
 #: White space at either end, the no-break space included.
-OUTER_SPACE = r"^[\s ]+|[\s ]+$"
+OUTER_SPACE = r"^[\s ]+|[\s ]+$"
 
 
 def folded(column: str | Column) -> Column:
@@ -17,44 +19,55 @@ def folded(column: str | Column) -> Column:
 
 
 def _identified(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``_k``: 128 bits of the folded keys, null where any key is null; ``_o``: the order of copies.
+    """``__key``: 128 bits of the folded keys, null where any key is null; ``__place``: the order of copies.
 
-    A null order value ranks last, as a copy without a time can't be shown to be the first.
+    A null order value ranks last, as a copy without a time can't be shown to be the first. Behind the order stand
+    128 bits of the whole row, so that only rows equal in every column have an equal place.
     """
     parts = [folded(k) for k in keys]
     known = parts[0].isNotNull()
     for part in parts[1:]:
         known = known & part.isNotNull()
-    ranked = [x for o in order for x in (F.col(o).isNull().alias(f"{o}_unknown"), F.col(o))]
+    ranked = [x for i, o in enumerate(order) for x in (F.col(o).isNull().alias(f"u{i}"), F.col(o).alias(f"o{i}"))]
+    whole = [F.array_sort(F.map_entries(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
     joined = F.concat_ws("\u0001", *parts)
     return df.select(
         "*",
-        F.when(known, F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit("salt"), joined).alias("b"))).alias("_k"),
-        F.struct(*ranked).alias("_o"),
+        F.when(known, F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit("salt"), joined).alias("b"))).alias("__key"),
+        F.struct(*ranked, F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit("salt"), *whole).alias("b")).alias("__place"),
     )
 
 
-def repeated_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``_k, _first`` of every identifier that occurs more than once, from one map-side combined aggregate."""
-    found = _identified(df, keys, order).where("_k IS NOT NULL")
-    return found.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first")).where("_n > 1").drop("_n")
+def repeated_identifiers(rows: DataFrame) -> DataFrame:
+    """``__key`` of every identifier that occurs more than once, by its frequency counted before the shuffle; written once."""
+    counted = rows.where("__key IS NOT NULL").groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    return materialise(counted.where("__n > 1").select("__key"), "repeated")
 
 
 def split_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``(kept, surplus)``: one copy of each message, and all others.
-
-    Identifiers are split by their aggregated frequency. Singletons and rows with a null key pass directly;
-    only rows of repeated identifiers meet the first copy of their group. No group is sorted or gathered
-    in one task: the first copy is a ``min`` that is combined before the shuffle, and the rows of a hot
-    identifier stay spread out, as the join's other side has one row per identifier and adaptive execution
-    splits the hot partition. ``order`` must end in a unique column; rows equal in all of it are told apart by
-    nothing and are all kept. Empty input gives two empty frames; other columns pass through unchanged.
+    """``(kept, surplus)``: exactly one copy of each message, and all others.
+
+    Identifiers are split by their aggregated frequency. Rows with a null key and singletons (an anti join with the
+    repeated identifiers) pass without being ranked; only rows of repeated identifiers are, and both results are united.
+    No group is sorted or gathered in one task: the first copy is a ``min`` that is combined before the shuffle, and the
+    rows of a hot identifier meet one row each, which adaptive execution splits. A copy that is equal in every column is a
+    surplus copy as often as it came again; if rows tie in ``order`` and differ elsewhere, a hash of the row decides. Empty
+    input gives two empty frames; other columns pass through unchanged.
     """
     columns = df.columns
     rows = _identified(df, keys, order)
-    joined = rows.join(repeated_groups(df, keys, order), "_k", "left")
-    surplus = F.col("_first").isNotNull() & (F.col("_o") != F.col("_first"))
-    return joined.where(~F.coalesce(surplus, F.lit(False))).select(columns), joined.where(surplus).select(columns)
+    repeated = repeated_identifiers(rows)
+    alone = rows.where("__key IS NULL").unionByName(rows.where("__key IS NOT NULL").join(repeated, "__key", "left_anti").select(rows.columns))
+    ranked = rows.where("__key IS NOT NULL").join(repeated, "__key", "left_semi")
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    unpacked = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)]
+    first = ranked.groupBy("__key").agg(F.min_by(row, "__place").alias("r"))
+    kept = alone.select(columns).unionByName(first.select(unpacked))
+    met = ranked.join(ranked.groupBy("__key").agg(F.min("__place").alias("__first")), "__key")
+    later = met.where(F.col("__place") != F.col("__first")).select(columns)
+    same = met.where(F.col("__place") == F.col("__first")).groupBy("__key").agg(F.first(row).alias("r"), F.count(F.lit(1)).alias("__n"))
+    again = same.where("__n > 1").select("r", F.explode(F.sequence(F.lit(2).cast("long"), F.col("__n")))).select(unpacked)
+    return kept, later.unionByName(again)
 
 
 def surplus_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Conditions that a gate can pivot to columns.
+MAX_CONDITIONS = 1000
 # Concepts that a finding of the other modality goes with.
 COMPATIBLE = [
     ("ventricular_hypertrophy", "cardiomegaly"),
@@ -112,9 +114,14 @@ def paired_effect(pairs: DataFrame, by: Sequence[str], left: str, right: str, lo
 
 
 def decision_gate(metrics: DataFrame, by: Sequence[str], condition: str, criteria: dict[str, Column]) -> DataFrame:
-    """``by, criteria ..., passed``: metrics pivoted by condition, each criterion over the pivoted columns; null fails."""
+    """``by, criteria ..., passed``: metrics pivoted by condition, each criterion over the pivoted columns; null fails.
+
+    Conditions become columns, so more than ``MAX_CONDITIONS`` of them are refused; none is left out.
+    """
     values = [c for c in metrics.columns if c not in (*by, condition)]
-    names = [r[0] for r in metrics.select(condition).distinct().orderBy(condition).limit(64).collect()]
+    names = [r[0] for r in metrics.select(condition).where(F.col(condition).isNotNull()).distinct().orderBy(condition).limit(MAX_CONDITIONS + 1).collect()]
+    if len(names) > MAX_CONDITIONS:
+        raise ValueError(f"more than {MAX_CONDITIONS} conditions")
     wide = metrics.groupBy(*by).agg(*(F.max(F.when(F.col(condition) == c, F.col(v))).alias(f"{c}_{v}") for c in names for v in values))
     checked = wide.select(*by, *(F.coalesce(v, F.lit(False)).alias(k) for k, v in criteria.items()))
     passed = F.lit(True)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import identity as I
+from cohortloom.functions import parsing
 from cohortloom.functions import text as T
 from cohortloom.functions import vector as V
 
@@ -115,8 +116,8 @@ def test_sections_and_visible_text(spark):
     assert one(spark, T.section(F.lit("FINDINGS: a.\nIMPRESSION: b."))) == ("b.",)
     assert one(spark, T.section(F.lit("FINDINGS: a.\nTECHNIQUE: c.")), T.section(F.lit(" plain "))) == ("a.", "plain")
     hidden = ["<think>a", "<think>a</think>", "<|eot|>", "", None]
-    assert [one(spark, T.visible_response(F.lit(x).cast("string")))[0] for x in hidden] == [""] * 5
-    assert one(spark, T.visible_response(F.lit("x<|channel|>final<|message|>Done.</s>"))) == ("Done.",)
+    assert [parsing.visible(x) for x in hidden] == [""] * 5
+    assert parsing.visible("x<|channel|>final<|message|>Done.</s>") == "Done."
     assert one(spark, T.join_statements(F.lit("a"), F.lit(" b  c"), F.lit("a"), F.lit(None).cast("string"))) == ("a | b c",)
     assert one(spark, T.trailing_integer(F.lit("s123")), T.trailing_integer(F.lit("12x"))) == (123, None)
 

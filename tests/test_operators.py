@@ -199,3 +199,12 @@ def test_review(spark):
     assert ids(review.domain_violations(a, {"f": ["Y", "N"]}), "field", "value", "n") == [("f", "NA", 1)]
     s = review.blinded_sample(spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, s long"), ["s"], "id", 3)
     assert sorted(r.review_id for r in s.collect()) == list(range(1, 7))
+
+
+def test_same_row_delivered_again(spark):
+    again = (1, "2024-01-01", "x", "y", 0, 0)
+    df = deliveries(spark, [again, again, again, (2, "2024-01-01", None, "y", 0, 0), (2, "2024-01-01", None, "y", 0, 0), (3, "2024-01-01", "q", "y", 0, 0), (3, "2024-01-01", "q", "y", 9, 0)])
+    kept, surplus = delivery.split_copies(df, ["a", "b"], ["at", "delivery_id"])
+    assert [x for (x,) in ids(kept, "delivery_id")] == [1, 2, 2, 3]
+    assert [x for (x,) in ids(surplus, "delivery_id")] == [1, 1, 3]
+    assert delivery.merge_new(df.where("delivery_id = 1").limit(1), df.where("delivery_id = 1"), ["a", "b"], ["at", "delivery_id"]).count() == 1

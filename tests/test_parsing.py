@@ -92,6 +92,66 @@ def test_effects_and_gates(spark):
     m = spark.createDataFrame([("x", "full", 0.9), ("x", "same", 0.8), ("y", "full", 0.7)], "k string, condition string, f1 double")
     gate = selection.decision_gate(m, ["k"], "condition", {"better": F.col("full_f1") > F.col("same_f1")})
     assert sorted((r.k, r.passed) for r in gate.collect()) == [("x", True), ("y", False)]
+    many = spark.range(100).select(F.lit("x").alias("k"), F.format_string("c%03d", "id").alias("condition"), F.col("id").cast("double").alias("f1"))
+    assert selection.decision_gate(many, ["k"], "condition", {"last": F.col("c099_f1") > 98}).first().passed
     v = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([float("nan"), 1.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     assert tuple(selection.vector_audit(v, "v", 2).first()) == (1, 1, 1, 1, 1)
     assert [tuple(r) for r in selection.column_means(v, "v").orderBy("i").collect()] == [(0, round(2 / 3, 6), 3), (1, 1.0, 3)]
+
+
+@pytest.mark.parametrize(
+    "raw,allowed,stage,report",
+    [
+        (json.dumps(FULL), ["a"], "strict", "Sinus rhythm."),
+        (json.dumps(FULL), ["b"], None, None),
+        ('Answer: {"Response": {"Final-Report": " Normal. ", "limitations": "none seen", "evidence": [{"finding": "f", "sources": "a"}]}}', ["a"], "normalized", "Normal."),
+        ('{"report": 3} then {"impression": "Flutter."}', [], "normalized", "Flutter."),
+        ('{"report": "x", "evidence": ["loose"]}', [], None, None),
+        ("no object", ["a"], None, None),
+        (None, [], None, None),
+    ],
+)
+def test_rescue(raw, allowed, stage, report):
+    got = parsing.rescue_output(raw, allowed)
+    assert (got["stage"], got["report"]) == (stage, report)
+
+
+@pytest.mark.parametrize(
+    "raw,stage,report",
+    [
+        ("Report: Sinus rhythm.\nuncertainties: none", "labelled_plain_report", "Sinus rhythm."),
+        ("Sinus rhythm, left axis", "visible_free_text", "Sinus rhythm, left axis"),
+        ("report: evidence_trace", "schema_echo", None),
+        ("The patient is well.", "non_diagnostic_response", None),
+        ("Please describe the rhythm.", "non_diagnostic_response", None),
+        ("unable to read the rhythm", "non_diagnostic_response", None),
+        ('{"other": 1}', "json_without_report", None),
+        (json.dumps(FULL), "strict_json", "Sinus rhythm."),
+        (None, "empty_or_hidden", None),
+    ],
+)
+def test_plain_output(raw, stage, report):
+    got = parsing.plain_output(raw)
+    assert (got["stage"], got["report"]) == (stage, report)
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ("a <think>b</think> c", "a  c"),
+        ("b</think> c </THINK> d", "d"),
+        ("a<|eot|></s>b<eos>", "ab"),
+        ("a <think>b", "a"),
+        ("<|channel|>final<|message|>one<|channel|>final<|message|>two", "two"),
+        ("<|channel|>analysis<|message|>x", ""),
+        ("```json\n{}\n```", "```json\n{}\n```"),
+    ],
+)
+def test_visible(raw, want):
+    assert parsing.visible(raw) == want
+
+
+def test_rescue_columns(spark):
+    rows = spark.createDataFrame([('{"impression": "Flutter."}', None), (None, ["a"])], "t string, a array<string>")
+    got = rows.select(parsing.rescued(F.col("t"), F.col("a")).alias("r"), parsing.plain_parsed(F.col("t")).alias("p")).collect()
+    assert [(g.r.stage, g.p.stage) for g in got] == [("normalized", "normalized_json_report_only"), (None, "empty_or_hidden")]
