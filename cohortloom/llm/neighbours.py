@@ -1,14 +1,17 @@
 """The most similar vectors of every vector, by collision-counting hashing.
 
-Every vector gets many random projections. Single projections are hash functions on their own: two vectors
-collide in one where they fall into each other's query-centred window, and a pair that collides in at least a
-threshold of them is verified by its exact cosine. Window width and threshold follow from the similarity
-asked for, so virtual rehashing is a change of width on the stored projections, not a new hash table.
+Every unit vector is turned by one random rotation; its coordinates are single projections on orthogonal random
+directions, stored as int8. Each of the first ``COUNTED`` projections is a hash function of its own with a sorted array.
+A query opens a window around itself in every sorted array; a vector that lies in at least a threshold of the windows
+is a candidate and is verified. Virtual rehashing starts with the windows of a small radius and widens them in steps on
+the same arrays, until the query has its k or the radius reaches the similarity asked for.
 
 Counting over one sorted array per projection meets a fixed share of all rows per query, which is quadratic.
 Here the arrays are first cut into cells by the order of a few other projections (their signs), several times
 over; windows are expanded inside a cell. Cell size stays constant as the table grows, and the number of
-cuttings follows from the recall asked for.
+cuttings follows from the recall asked for. All coordinates being there, a cell verifies on them and passes on a bounded
+number of links per query, which are verified exactly on the vectors. Where more vectors lie closer together than int8
+can tell, the cell is met once more on int16 coordinates.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ DIM = 64
 COUNTED, CELL_ROWS = 32, 128
 #: Share of the pairs at the lowest similarity asked for that must share a cell at least once.
 RECALL = 0.98
-#: Half width of a window in standard deviations of the projected distance at the similarity asked for.
+#: Half width of a window in standard deviations of the projected distance at a radius.
 HALF_WIDTH = 1.5
-#: Projections of unit vectors are stored as int8, in steps of 1/24.
+#: Coordinates of turned unit vectors have a deviation of about 1 after scaling and are stored as int8, in steps of 1/24.
 STEPS = 24.0
+#: Finer coordinates (int16) have so many steps in one of these.
+FINER = 256
+#: Radii of virtual rehashing: each is half of the next; the last is the distance at the similarity asked for.
+RADII = 3
 #: A cell with more rows is met in salted parts of at most so many.
 PART_ROWS = 2048
 
@@ -59,14 +66,23 @@ def threshold(similarity: float, miss: float = 0.003) -> int:
     return COUNTED
 
 
-def _hash_rows(matrix: np.ndarray, signs: int, cuttings: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell keys (n, cuttings) and int8 projections (n, COUNTED) of unit vectors."""
+def _hash_rows(matrix: np.ndarray, signs: int, cuttings: int, seed: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Cell keys (n, cuttings) and int8 or fine int16 coordinates (n, dim) of unit vectors after a random rotation."""
     rng = np.random.default_rng(seed)
-    cut = rng.standard_normal((matrix.shape[1], cuttings * signs)).astype(np.float32)
-    counted = rng.standard_normal((matrix.shape[1], COUNTED)).astype(np.float32)
+    dim = matrix.shape[1]
+    cut = rng.standard_normal((dim, cuttings * signs)).astype(np.float32)
+    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
     bits = (matrix @ cut > 0).reshape(len(matrix), cuttings, signs)
     keys = (bits * (1 << np.arange(signs, dtype=np.int64))).sum(2)
-    return keys, np.clip(np.rint(matrix @ counted * STEPS), -127, 127).astype(np.int8)
+    turned = matrix @ turn * (STEPS * math.sqrt(dim))
+    if fine:
+        return keys, np.clip(np.rint(turned * FINER), -127 * FINER, 127 * FINER).astype(np.int16)
+    return keys, np.clip(np.rint(turned), -127, 127).astype(np.int8)
+
+
+def _coarse(p: np.ndarray) -> np.ndarray:
+    """The int8 steps of coordinates of either kind."""
+    return p if p.dtype == np.int8 else np.rint(p / FINER).astype(np.int8)
 
 
 def usable_rows(vectors: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +95,7 @@ def usable_rows(vectors: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarr
     return rows[good], matrix[good]
 
 
-def _hasher(modalities: int, signs: int, cuttings: int, seed: int, dim: int):
+def _hasher(modalities: int, signs: int, cuttings: int, seed: int, dim: int, fine: bool = False):
     """Arrow batches (id, owner, vectors ...) to one row per usable vector: its class bits, cells and projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +108,10 @@ def _hasher(modalities: int, signs: int, cuttings: int, seed: int, dim: int):
                 x = np.array([d & (2**63 - 1) for d in digests], dtype=np.int64)
                 y = np.array([d >> 65 for d in digests], dtype=np.int64)
                 matrix /= np.abs(matrix).max(1, keepdims=True)  # no overflow in the norm
-                keys, projections = _hash_rows((matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32), signs, cuttings, seed)
+                keys, projections = _hash_rows((matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32), signs, cuttings, seed, fine)
                 cells = ((np.int64(m) * cuttings + np.arange(cuttings)) << signs) + keys
                 lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cuttings, dtype=np.int32), pa.array(cells.ravel()))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COUNTED), len(rows), [None, pa.py_buffer(np.ascontiguousarray(projections).tobytes())]).cast(pa.binary())
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * projections.itemsize), len(rows), [None, pa.py_buffer(np.ascontiguousarray(projections).tobytes())]).cast(pa.binary())
                 at = pa.array(rows)
                 columns = [pa.array(np.full(len(rows), m, np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(y), lists, packed]
                 yield pa.RecordBatch.from_arrays(columns, ["m", "id", "owner", "x", "y", "cells", "p"])
@@ -103,62 +119,143 @@ def _hasher(modalities: int, signs: int, cuttings: int, seed: int, dim: int):
     return run
 
 
-def _collisions(q: np.ndarray, m: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into q, into m) that collide in at least ``least`` projections; arrays are (projection, row)."""
-    counts = np.zeros((q.shape[1], m.shape[1]), dtype=np.int8)
-    for j in range(COUNTED):
-        # the window test |a - b| <= width as one unsigned comparison
-        counts += (m[j][None, :] - (q[j] - np.int16(width))[:, None]).view(np.uint16) <= 2 * width
-    return np.nonzero(counts >= least)
-
-
-def _part_pairs(ids: np.ndarray, rows: np.ndarray, members: int, width: int, least: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Colliding pairs a < b of one cell part: its members (first) among each other, and queries against members."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    # no block holds both: members meet the members from their own block on, queries meet all
-    for at in (*range(0, members, block), *range(members, len(ids), block)):
-        start, end = (at, min(at + block, members)) if at < members else (0, at + block)
-        i, k = _collisions(rows[:, at:end], rows[:, start:members], width, least)
-        i, k = i + at, k + start
-        # members meet once in row order; a query from another part is kept where its id is the smaller
-        keep = np.where(i < members, k > i, ids[i] < ids[k])
-        one, two = ids[i[keep]], ids[k[keep]]
-        a.append(np.minimum(one, two))
-        b.append(np.maximum(one, two))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _counter(width: int, least: int):
-    """Sorted Arrow batches (cell, part, query, id, p) to colliding pairs; a part may span batches, members come first."""
-    schema = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+class Members:
+    """The members of a cell part behind their sorted arrays, one per counted projection."""
+
+    def __init__(self, p: np.ndarray, ids: np.ndarray, owners: np.ndarray):
+        self.p, self.ids, self.owners = p, ids, owners
+        counted = _coarse(p[:, :COUNTED]).T.astype(np.int64)
+        n = len(ids)
+        # offsets[j, v]: where the value v - 128 begins in the sorted array j
+        places = np.bincount((np.arange(COUNTED)[:, None] * 257 + counted + 129).ravel(), minlength=COUNTED * 257).reshape(COUNTED, 257)
+        self.offsets = places.cumsum(1)
+        kind = np.int16 if n < 2**14 else np.int32
+        self.unsigned = np.uint16 if n < 2**14 else np.uint32
+        self.rank = np.empty((COUNTED, n), kind)  # position of each member in each sorted array
+        np.put_along_axis(self.rank, np.argsort(counted.astype(np.int16), 1, kind="stable"), np.arange(n, dtype=kind)[None, :], 1)
+        self.norms = np.sqrt((p.astype(np.float64) ** 2).sum(1))
+
+    def windows(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First position and size of the windows of half width ``width`` around the queries, per projection."""
+        counted = _coarse(q[:, :COUNTED]).T.astype(np.int64)
+        j = np.arange(COUNTED)[:, None]
+        begin = self.offsets[j, np.clip(counted - width, -128, 127) + 128]
+        end = self.offsets[j, np.clip(counted + width, -128, 127) + 129]
+        return begin.astype(self.rank.dtype), (end - begin).astype(self.rank.dtype)
+
+    def collisions(self, begin: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of the pairs that lie in the windows of at least ``least`` projections."""
+        counts = np.zeros((begin.shape[1], len(self.ids)), dtype=np.int8)
+        for j in range(COUNTED):
+            counts += (self.rank[j][None, :] - begin[j][:, None]).view(self.unsigned) < size[j][:, None].view(self.unsigned)
+        return np.nonzero(counts >= least)
+
+
+def _rank_within(*keys: np.ndarray) -> np.ndarray:
+    """Position of each row among the rows equal in all keys, for rows sorted by them."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(starts, np.diff([*starts, len(new)]))
+
+
+def nearest_in_cell(q: np.ndarray, q_ids: np.ndarray, q_owners: np.ndarray, members: Members, k: int, similarity: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, owner of b, similarity)``: the first 2k members of other owners for each query, at most k of one owner.
+
+    Windows widen over ``RADII`` until a query has 2k verified members of other owners within the radius; as a window total below
+    2k times the threshold can't hold them, such a radius is passed over without counting. An odd owner code marks a class of
+    rows of several owners, to which the bound per owner applies; other queries need only the first k and their owner left out.
+    A query that leaves out a member as near as its k-th, as far as int8 can tell, comes out once with itself.
+    """
+    least, bound = threshold(similarity), math.sqrt(2 - 2 * similarity)
+    found: list[tuple[np.ndarray, ...]] = []
+    slack = 0.002  # the int8 coordinates' error in cosine, for pairs at the bound
+    norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    real = np.float32 if q.dtype == np.int8 else np.float64
+    for at in range(0, len(q), block):
+        active = np.arange(at, min(at + block, len(q)))
+        for level in range(RADII):
+            radius, last = bound / 2 ** (RADII - 1 - level), level == RADII - 1
+            begin, size = members.windows(q[active], round(HALF_WIDTH * radius * STEPS))
+            hopeful = np.ones(len(active), bool) if last else size.sum(0, dtype=np.int64) >= 2 * k * least
+            if not hopeful.any():
+                continue
+            i, m = members.collisions(begin[:, hopeful], size[:, hopeful], least)
+            i = active[hopeful][i]
+            other = (q_owners[i] != members.owners[m]) & (q_ids[i] != members.ids[m])
+            i, m = i[other], m[other]
+            sim = np.einsum("ij,ij->i", q[i].astype(real), members.p[m].astype(real)) / (norms[i] * members.norms[m])
+            near = sim >= (similarity - slack if last else 1 - radius**2 / 2)
+            i, m, sim = i[near], m[near], sim[near]
+            order = np.lexsort((members.ids[m], -sim, members.owners[m], i))
+            i, m, sim = i[order], m[order], sim[order]
+            kept = (_rank_within(i, members.owners[m]) < k) | (q_owners[i] & 1 == 0)
+            order = np.lexsort((members.ids[m], -sim, i))
+            order = order[kept[order]]
+            i, m, sim = i[order], m[order], sim[order]
+            place = _rank_within(i)
+            kth, left_out = place == k - 1, place == 2 * k
+            # the error of int8 coordinates grows with the distance
+            reach = np.full(block, np.inf)
+            reach[i[kth] - at] = sim[kth] - 0.007 * np.sqrt(np.maximum(0, 2 - 2 * sim[kth])) - 0.0001
+            unclear = i[left_out][sim[left_out] >= reach[i[left_out] - at]] if q.dtype == np.int8 else i[:0]
+            kept = place < 2 * k
+            i, m, sim = i[kept], m[kept], sim[kept]
+            if last:
+                done = active
+            else:
+                got = np.bincount(i - at, minlength=block)[active - at]
+                done = active[got >= 2 * k]
+            mine = np.isin(i, done)
+            found.append((q_ids[i[mine]], members.ids[m[mine]], members.owners[m[mine]], sim[mine]))
+            unclear = q_ids[unclear[np.isin(unclear, done)]]
+            found.append((unclear, unclear, np.zeros(len(unclear), np.int64), np.full(len(unclear), np.nan)))
+            active = np.setdiff1d(active, done, assume_unique=True)
+            if not len(active):
+                break
+    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip([*zip(*found)] or [()] * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
+
+
+def _counter(k: int, similarity: float, dim: int, fine: bool):
+    """Sorted Arrow batches (cell, part, query, id, o, p) to links of each row; a part may span batches, members come first."""
+    schema = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bo", pa.int64()), ("sim", pa.float64())])
+
+    def links(cell: int, ids: np.ndarray, owners: np.ndarray, p: np.ndarray, members: Members) -> Iterator[pa.RecordBatch]:
+        a, b, bo, sim = nearest_in_cell(p, ids, owners, members, k, similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), cell), a, b, bo, sim.astype(np.float64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held_ids, held, members = None, [], [], 0
+        at, held, members = None, [], None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held_ids, held, members
-            if held_ids:
-                ids, rows = np.concatenate(held_ids), np.concatenate(held, 1)
-                a, b = _part_pairs(ids, rows, members, width, least)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at[0])), pa.array(a), pa.array(b)], schema=schema)
-                held_ids, held, members = [], [], 0
+        def gather() -> Iterator[pa.RecordBatch]:
+            """The members are complete: they get their arrays, and are queries themselves."""
+            nonlocal held, members
+            if held:
+                ids, owners, p = (np.concatenate(x) for x in zip(*held, strict=True))
+                members, held = Members(p, ids, owners), []
+                yield from links(at[0], ids, owners, p, members)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells, parts, query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            p = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8).reshape(-1, COUNTED).T.astype(np.int16)
-            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0)) + 1
+            cells, parts, query, ids, owners = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            p = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int16 if fine else np.int8).reshape(-1, dim)
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
                 key = int(cells[lo]), int(parts[lo])
                 if key != at:
-                    yield from close()
-                    at = key
-                held_ids.append(ids[lo:hi])
-                held.append(p[:, lo:hi])
-                members += int((~query[lo:hi]).sum())
-        yield from close()
+                    yield from gather()
+                    at, members = key, None
+                if not query[lo]:
+                    held.append((ids[lo:hi], owners[lo:hi], p[lo:hi]))
+                    continue
+                yield from gather()
+                if members is not None:
+                    yield from links(key[0], ids[lo:hi], owners[lo:hi], p[lo:hi], members)
+        yield from gather()
 
     return run
 
@@ -190,7 +287,6 @@ def neighbours(
     with a probability of at most about 1 - ``RECALL``.
     """
     signs, cuttings = plan(bank.count(), similarity)
-    width, least = round(HALF_WIDTH * math.sqrt(2 - 2 * similarity) * STEPS), threshold(similarity)
     types = dict(bank.dtypes)
     source = bank.where("status = 1").select(id_column, owner, *modalities)
     shape = f"m int, id {types[id_column]}, owner {types[owner]}, x bigint, y bigint, cells array<bigint>, p binary"
@@ -198,23 +294,39 @@ def neighbours(
     # an unknown owner is an owner of its own
     owned = F.struct(F.col("owner").isNull().alias("alone"), F.coalesce(F.col("owner").cast("string"), F.col("id").cast("string")).alias("o"))
     rows = hashed.select("m", "id", owned.alias("owner"), "x", "y")
-    least_id = rows.groupBy("m", "x", "y").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = materialise(rows.join(least_id, ["m", "x", "y"]).select("m", "id", "owner", "c"), "copies")
-    # rows that are copies of an earlier one meet nobody
-    first = hashed.join(copies.where("id <> c").select("m", "id"), ["m", "id"], "left_anti").select("id", "p", F.explode("cells").alias("cell"))
-    met = _meet(first, width, least)
-    candidates = materialise(met.select(F.floor(F.shiftright("cell", signs) / cuttings).cast("int").alias("m"), "a", "b").distinct(), "candidates")
-    needed = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
-    held = materialise(source.withColumnRenamed(id_column, "id").join(needed, "id", "left_semi"), "vectors")
-    vectors = lambda side: held.select(F.col("id").alias(side), F.array(*modalities).alias(f"v{side}"))
-    verified = candidates.join(vectors("a"), "a").join(vectors("b"), "b").select("m", "a", "b", cosine(F.col("va")[F.col("m")], F.col("vb")[F.col("m")]).alias("sim")).where(F.col("sim") >= similarity)
+    classes = rows.groupBy("m", "x", "y").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n"), (F.min("owner") != F.max("owner")).alias("mixed")).where("n > 1").drop("n")
+    copies = materialise(rows.join(classes, ["m", "x", "y"]).select("m", "id", "owner", "c", "mixed"), "copies")
+    # rows that are copies of an earlier one meet nobody; an odd owner code marks a class of rows of several owners
+    marked = hashed.select("m", "id", "p", "cells", F.xxhash64(owned).alias("o")).join(copies.select("m", "id", "c", "mixed"), ["m", "id"], "left").where("c IS NULL OR id = c")
+    code = F.when(F.col("mixed"), F.xxhash64(F.lit("class"), "id").bitwiseOR(F.lit(1))).otherwise(F.col("o").bitwiseAND(F.lit(-2)))
+    placed = marked.select("m", "id", code.alias("o"), "p", F.explode("cells").alias("cell"))
+    met = materialise(_meet(placed.drop("m"), k, similarity, dim), "met")
+    # cells with queries that int8 leaves unclear are met again on finer coordinates
+    unclear = met.where("a = b").select("cell").distinct()
+    again = materialise(placed.drop("p").join(unclear, "cell", "left_semi"), "unclear")
+    fine = source.withColumnRenamed(id_column, "id").join(again.select("id").distinct(), "id", "left_semi").select("id", owner, *modalities)
+    finer = fine.mapInArrow(_hasher(len(modalities), signs, cuttings, seed, dim, True), shape).select("m", "id", "p")
+    refined = _meet(again.join(finer, ["m", "id"]).drop("m"), k, similarity, dim, True)
+    clear = met.where("a <> b").join(unclear, "cell", "left_anti").unionByName(refined)
+    linked = clear.select(F.floor(F.shiftright("cell", signs) / cuttings).cast("int").alias("m"), "a", "b", "bo", "sim")
+    # a row's links from all its cells: the first 2k, at most k of one owner
+    own = linked.repartition("m", "a").dropDuplicates(["m", "a", "b"])
+    near = [F.desc("sim"), F.asc("b")]
+    best = own.withColumn("i", F.row_number().over(Window.partitionBy("m", "a", "bo").orderBy(*near))).where(F.col("i") <= k)
+    best = best.withColumn("i", F.row_number().over(Window.partitionBy("m", "a").orderBy(*near))).where(F.col("i") <= 2 * k)
+    candidates = materialise(best.select("m", "a", "b"), "candidates")
+    needed = candidates.select("m", F.col("a").alias("id")).unionByName(candidates.select("m", F.col("b").alias("id"))).distinct()
+    vectors = source.select(F.col(id_column).alias("id"), F.posexplode(F.array(*modalities)).alias("m", "v"))
+    held = materialise(vectors.join(needed, ["m", "id"], "left_semi"), "vectors")
+    side = lambda name: held.select("m", F.col("id").alias(name), F.col("v").alias(f"v{name}"))
+    verified = candidates.join(side("a"), ["m", "a"]).join(side("b"), ["m", "b"]).select("m", "a", "b", cosine(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= similarity)
     links = materialise(verified, "links")
-    both = links.unionByName(links.select("m", F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     repeated = copies.select("m", "c").distinct()
-    all_links = both.unionByName(repeated.select("m", F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("sim")))
+    copies = copies.drop("mixed")
+    all_links = links.unionByName(repeated.select("m", F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("sim")))
     # a class of one row, where it is linked at all
-    single = both.select("m", F.col("a").alias("c")).distinct().join(repeated, ["m", "c"], "left_anti")
-    alone = single.join(rows.select("m", F.col("id").alias("c"), "owner"), ["m", "c"]).select("m", F.col("c").alias("id"), "owner", "c")
+    ends = links.select("m", F.col("a").alias("c")).unionByName(links.select("m", F.col("b").alias("c"))).distinct()
+    alone = ends.join(repeated, ["m", "c"], "left_anti").join(rows.select("m", F.col("id").alias("c"), "owner"), ["m", "c"]).select("m", F.col("c").alias("id"), "owner", "c")
     # first rows of each class, at most k of one owner
     by_owner, by_class = Window.partitionBy("m", "c", "owner").orderBy("id"), Window.partitionBy("m", "c").orderBy("id")
     copied = copies.withColumn("i", F.row_number().over(by_owner)).where(F.col("i") <= k).withColumn("i", F.row_number().over(by_class)).where(F.col("i") <= 2 * k)
@@ -235,8 +347,8 @@ def neighbours(
     return own_first.select("m", "id", F.explode("best").alias("x")).select("m", "id", F.col("x.other").alias("other"), F.col("x.sim").alias("sim"))
 
 
-def _meet(first: DataFrame, width: int, least: int) -> DataFrame:
-    """``cell, a, b`` of the rows ``(cell, id, p)`` that collide often enough inside a cell; large cells in salted parts.
+def _meet(first: DataFrame, k: int, similarity: float, dim: int, fine: bool = False) -> DataFrame:
+    """``cell, a, b, bo, sim``: the links of each row of ``(cell, id, o, p)`` inside a cell; large cells in salted parts.
 
     A cell of more than ``PART_ROWS`` rows is split: each row is a member of one part and a query of the others, so
     no pair is lost and no part holds the cell as members. The counts per cell are combined before their shuffle.
@@ -244,9 +356,9 @@ def _meet(first: DataFrame, width: int, least: int) -> DataFrame:
     large = materialise(first.groupBy("cell").count().where(F.col("count") > PART_ROWS).select("cell", F.ceil(F.col("count") / (PART_ROWS // 2)).cast("int").alias("parts")), "large")
     split = first.join(large, "cell", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0)))
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    rows = split.select("cell", parts.alias("part"), "own", "id", "p").select("cell", "part", (F.col("part") != F.col("own")).alias("query"), "id", "p")
+    rows = split.select("cell", parts.alias("part"), "own", "id", "o", "p").select("cell", "part", (F.col("part") != F.col("own")).alias("query"), "id", "o", "p")
     placed = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "query")
-    return placed.mapInArrow(_counter(width, least), "cell bigint, a bigint, b bigint")
+    return placed.mapInArrow(_counter(k, similarity, dim, fine), "cell bigint, a bigint, b bigint, bo bigint, sim double")
 
 
 def similar_pairs(bank: DataFrame, modalities: Sequence[str], k: int = 10, similarity: float = 0.95) -> DataFrame:

@@ -160,12 +160,52 @@ def test_large_cells_lose_no_pair(spark, monkeypatch):
     assert whole == sorted(brute(vectors, owners, 10, 0.95))
 
 
-@pytest.mark.parametrize("members", [0, 1, 8, 10, 23, 40])
-def test_part_pairs_where_a_block_ends_behind_the_members(members):
-    at = np.random.default_rng(3).permutation(40)
-    a, b = neighbours._part_pairs(at, np.zeros((neighbours.COUNTED, 40), np.int16), members, 1, neighbours.COUNTED, block=8)
-    want = [(min(at[i], at[k]), max(at[i], at[k])) for k in range(members) for i in range(k + 1, 40) if i < members or at[i] < at[k]]
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(want)
+def coordinates(n, spread, seed=3, fine=False):
+    r = np.random.default_rng(seed)
+    v = r.standard_normal(64) + spread * r.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v, np.rint(v * 8 * neighbours.STEPS * (neighbours.FINER if fine else 1)).astype(np.int16 if fine else np.int8)
+
+
+@pytest.mark.parametrize("members,spread,fine", [(1, 0.1, False), (40, 0.1, False), (23, 0.25, False), (300, 0.02, True), (300, 0.1, True), (300, 0.22, False)])
+def test_cell_against_brute_force(members, spread, fine):
+    v, p = coordinates(members + 30, spread, fine=fine)
+    n = np.arange(len(v))
+    owners = 2 * (n % 7)
+    part = neighbours.Members(p[:members], n[:members], owners[:members])
+    a, b, *_ = neighbours.nearest_in_cell(p, n, owners, part, 3, 0.95, block=16)
+    a, b = a[a != b], b[a != b]
+    assert np.bincount(a, minlength=1).max(initial=0) <= 6 and (owners[a] != owners[b]).all() and (b < members).all()
+    got, exact, want, hit = {}, v @ v.T, 0, 0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got.setdefault(x, []).append(y)
+    for i in n:
+        best = [j for j in np.argsort(-exact[i, :members]) if owners[j] != owners[i] and exact[i, j] >= 0.95][:3]
+        want, hit = want + len(best), hit + len(set(best) & set(got.get(i, [])))
+    assert hit >= 0.98 * want
+
+
+def test_classes_of_several_owners_keep_links_for_each(spark):
+    v, p = coordinates(60, 0.05)
+    n = np.arange(60)
+    owners = np.where(n < 40, 2, 2 * n)
+    owners[59] = 121
+    a, b, bo, _ = neighbours.nearest_in_cell(p, n, owners, neighbours.Members(p, n, owners), 5, 0.95)
+    a, b, bo = a[a != b], b[a != b], bo[a != b]
+    assert (bo[a == 59] == 2).sum() <= 5 and (bo[a == 59] != 2).sum() >= 5
+
+
+def test_dense_cluster_and_hot_patient(spark):
+    r = np.random.default_rng(21)
+    near = r.standard_normal(64) + 0.01 * r.standard_normal((400, 64))
+    hot = r.standard_normal(64) + 0.1 * r.standard_normal((400, 64))
+    vectors, owners = [*near, *hot], [*range(400), *[1000] * 396, *range(1001, 1005)]
+    found = neighbours.neighbours(bank(spark, vectors, owners), ["ecg"], 10, 0.95)
+    got = {tuple(x) for x in ids(found, "id", "other")}
+    assert len(got) <= 10 * len(vectors)
+    pairs_found = {(min(x), max(x)) for x in got}
+    want = brute(vectors, owners, 10, 0.95)
+    assert len(pairs_found & want) >= 0.98 * len(want)
 
 
 # ---- 3: splits
