@@ -56,6 +56,11 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("held").alias("most_words"))
 
 
+def p6_reworded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an item whose numbers, names or units were consistently exchanged."""
+    return leakage.reworded_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -77,7 +82,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_found, p3_found, p3_splits, p5_found, p5_rates, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_clean, p8_validation]
+    found = [p1_found, p2_found, p3_found, p3_splits, p5_found, p5_rates, p6_found, p6_items, p6_reworded, p7_mix, p7_shares, p8_found, p8_clean, p8_validation]
     return {f.__name__: f for f in found}
 
 

@@ -368,6 +368,34 @@ def test_leaks(spark):
     assert leakage.leaked_items(d.limit(0), q).isEmpty() and leakage.leaked_items(d, q.limit(0)).isEmpty()
 
 
+def test_number_rows_and_reworded_items(spark):
+    numbers = "7 35 40 24 135 4 1 102 88 9 12 250 14 6"
+    item = "A 54 year old man named Dr Baker took 40 mg of furosemide for 3 days in Boston. On Monday his potassium fell to 2 while Dr Baker gave 40 mg again and the pulse rose."
+    changed = item.replace("54", "61").replace("Baker", "Costello").replace("40", "20").replace("furosemide", "torsemide").replace("Boston", "Denver").replace("Monday", "Friday").replace("to 2 ", "to 4 ").replace("3 days", "9 days")
+    mixed_up = changed.replace("20 mg again", "75 mg again").replace("while Dr Costello", "while Dr Wright").replace("fell to 4", "fell to two three four")
+    d = spark.createDataFrame([(1, f"Values {numbers} end"), (2, f"See: {changed}"), (3, item), (4, mixed_up), (5, None), (5, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(10, numbers), (11, item), (12, None)], "item_id long, text string")
+    assert ids(leakage.leaked_items(d, q), "doc_id", "item_id") == [(1, 10), (3, 11)]
+    got = {r.doc_id: r for r in leakage.reworded_items(d, q).collect()}
+    assert set(got) == {2, 4} and got[2].edits == 0 and got[2].changed == 10
+    assert got[4].held < got[2].held or got[4].edits > 0
+    assert leakage.held_words(numbers.split(), numbers.split()) == (14, 0)
+
+
+def test_slots_must_map_consistently():
+    item = "alpha 1 beta 1 gamma 1 delta 1 epsilon 1 zeta 1 eta theta iota kappa lambda".split()
+    assert leakage.held_template(item, [w.replace("1", "9") for w in item]) == (17, 0, 6)
+    other = [str(i) if w == "1" else w for i, w in enumerate(item)]
+    assert leakage.held_template(item, other) == (0, 0, 0)
+    assert leakage.held_template(["5"] * 20, ["6"] * 20) == (0, 0, 0)
+
+
+def test_template_in_the_engine_equals_the_plain_one(spark):
+    texts = ["Dr Meyer gave 5mg lisinopril in Rome", "12 x 3 hours on monday", "", "nurse", "enoxaparin apparent 40mgx"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), leakage.words(F.col("t")).alias("w"), leakage.template(leakage.words(F.col("t"))).alias("m")).collect()
+    assert [r.m for r in rows] == [leakage.template_words(r.w) for r in rows]
+
+
 # ---- 7: mixing
 
 
