@@ -20,6 +20,7 @@ from cohortloom.session import materialise
 #: What ends a statement in running text, and in lists of short statements; a line end always does.
 PROSE = (". ", "! ", "? ", ": ")
 LISTED = (";", "|", ". ", "! ", "? ")
+CLOSERS = "\"”)]"
 STOP = r"[.!?][\"”)\]]*$"
 #: Marks of omission and loose separators at the very end say nothing by themselves.
 LOOSE = " ;|…\ufffd\\"
@@ -68,16 +69,25 @@ FROM (
 GROUP BY kind, last
 """
 
+_UNSEEN = """
+SELECT d.kind, d.last, element_at(w, -1) AS word, IF(size(w) > 2, xxhash64(slice(w, size(w) - 2, 2)), xxhash64(slice(w, 1, 1))) AS ctx
+FROM {decided} d JOIN {finals} x ON d.kind = x.kind AND d.last = x.last
+WHERE d.unseen
+"""
+
+# The words after a context are cut to all their beginnings, so that a fragment meets one row, however many words follow.
 _FRAGMENTS = """
 SELECT f.kind, f.last
-FROM (
-  SELECT d.kind, d.last, element_at(w, -1) AS word, IF(size(w) > 2, xxhash64(slice(w, size(w) - 2, 2)), xxhash64(slice(w, 1, 1))) AS ctx
-  FROM {decided} d JOIN {finals} x ON d.kind = x.kind AND d.last = x.last
-  WHERE d.pair_n = 0
-) f JOIN {nexts} n ON f.kind = n.kind AND f.ctx = n.ctx
-WHERE startswith(n.next, f.word) AND n.next <> f.word
-GROUP BY f.kind, f.last
-HAVING sum(n.n) >= 2
+FROM {unseen} f JOIN (
+  SELECT kind, ctx, word, sum(n) AS n
+  FROM (
+    SELECT n.kind, n.ctx, n.n, explode(transform(sequence(1, length(n.next) - 1), i -> left(n.next, i))) AS word
+    FROM {nexts} n LEFT SEMI JOIN {unseen} u ON n.kind = u.kind AND n.ctx = u.ctx
+    WHERE length(n.next) > 1
+  )
+  GROUP BY kind, ctx, word
+  HAVING sum(n) >= 2
+) p ON f.kind = p.kind AND f.ctx = p.ctx AND f.word = p.word
 """
 
 
@@ -94,7 +104,9 @@ def statements(texts: DataFrame, separators: Sequence[str]) -> DataFrame:
         parted = F.replace(parted, F.lit(mark), F.lit(mark.strip(";|") + "\n"))
     named = texts.select("kind", "record_id", "source", body.alias("_body"))
     parts = F.filter(F.transform(F.split(parted, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    return named.select("kind", "record_id", "source", parts.alias("parts"), F.right("_body", F.lit(4)).rlike(STOP).alias("closed"))
+    # a stop, with any number of closing marks behind it
+    closed = F.right(F.rtrim(F.col("_body"), F.lit(CLOSERS)), F.lit(1)).isin(".", "!", "?")
+    return named.select("kind", "record_id", "source", parts.alias("parts"), closed.alias("closed"))
 
 
 def tokens(statement: Column) -> Column:
@@ -119,9 +131,12 @@ def cut_statements(texts: DataFrame, separators: Sequence[str], min_support: int
     finals = records.where("last IS NOT NULL").select("kind", "last").distinct().withColumn("w", tokens(F.col("last"))).where("size(w) > 1")
     contexts = spark.sql(_CONTEXTS.replace("{lens}", _LENS), words=words)
     decided = spark.sql(_LAST.replace("{lens}", _LENS), {"support": min_support}, finals=finals, contexts=contexts)
-    broken = decided.where("best IS NOT NULL").where(F.col("best.term_n") <= max_terminal * (F.col("best.term_n") + F.col("best.inner_n"))).select("kind", "last")
-    fragments = spark.sql(_FRAGMENTS, decided=decided, finals=finals, nexts=spark.sql(_NEXT, words=words))
-    return records, broken.unionByName(fragments).distinct()
+    best = F.col("best")
+    cut = best.isNotNull() & (best["term_n"] <= max_terminal * (best["term_n"] + best["inner_n"]))
+    decided = materialise(decided.select("kind", "last", F.coalesce(cut, F.lit(False)).alias("cut"), (F.col("pair_n") == 0).alias("unseen")).where("cut OR unseen"), "decided")
+    unseen = materialise(spark.sql(_UNSEEN, decided=decided, finals=finals), "unseen")
+    fragments = spark.sql(_FRAGMENTS, unseen=unseen, nexts=spark.sql(_NEXT, words=words))
+    return records, decided.where("cut").select("kind", "last").unionByName(fragments).distinct()
 
 
 def cut_records(texts: DataFrame, separators: Sequence[str]) -> DataFrame:

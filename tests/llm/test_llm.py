@@ -303,6 +303,12 @@ def test_cut_records(spark):
     assert truncation.cut_records(df.limit(0), truncation.PROSE).isEmpty()
 
 
+def test_closers_behind_a_stop_close_a_text(spark):
+    rows = spark.createDataFrame([(1, 'fine [as before.")])'), (2, "fine [as before)]]]]]"), (3, "so it is!  ;"), (4, None), (5, "")], "record_id long, text string")
+    split = truncation.statements(rows.select(F.lit("k").alias("kind"), "record_id", F.lit("s").alias("source"), "text"), truncation.PROSE)
+    assert [r.closed for r in split.orderBy("record_id").collect()][:3] == [True, False, True]
+
+
 def test_cut_lists(spark):
     rows = [(i, "a", "Left bundle branch block - unconfirmed; Sinus rhythm; Normal ECG") for i in range(20)]
     rows += [(50, "a", "Normal ECG; Left bundle bra"), (51, "a", "Normal ECG; Left bundle branch block - unconf"), (52, "a", "Left bundle branch block - unconfirmed"), (53, "a", "Normal ECG;")]
