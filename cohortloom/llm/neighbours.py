@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, by collision-counting hashing.
 
 Every unit vector is turned by one random rotation; its coordinates are single projections on orthogonal random
-directions, stored as int8. Each of the first ``COUNTED`` projections is a hash function of its own with a sorted array.
+directions, stored in six bits. Each of the first ``COUNTED`` projections is a hash function of its own with a sorted array.
 A query opens a window around itself in every sorted array; a vector that lies in at least a threshold of the windows
 is a candidate and is verified. Virtual rehashing starts with the windows of a small radius and widens them in steps on
 the same arrays, until the query has its k or the radius reaches the similarity asked for.
@@ -10,14 +10,15 @@ Counting over one sorted array per projection meets a fixed share of all rows pe
 Here the arrays are first cut into cells by the order of a few other projections (their signs), several times
 over; windows are expanded inside a cell. Cell size stays constant as the table grows, and the number of
 cuttings follows from the recall asked for. All coordinates being there, a cell verifies on them and passes on a bounded
-number of links per query, which are verified exactly on the vectors. Where more vectors lie closer together than int8
-can tell, the cell is met once more on int16 coordinates.
+number of links per query, which are verified exactly on the vectors. Where more vectors lie closer together than six
+bits can tell, the cell is met once more on int16 coordinates.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ COUNTED, CELL_ROWS = 32, 128
 RECALL = 0.98
 #: Half width of a window in standard deviations of the projected distance at a radius.
 HALF_WIDTH = 1.5
-#: Coordinates of turned unit vectors have a deviation of about 1 after scaling and are stored as int8, in steps of 1/24.
-STEPS = 24.0
+#: Coordinates of turned unit vectors have a deviation of about 1 after scaling and are stored in steps of 1/8, six bits each.
+STEPS, LIMIT = 8.0, 31
 #: Finer coordinates (int16) have so many steps in one of these.
 FINER = 256
 #: Radii of virtual rehashing: each is half of the next; the last is the distance at the similarity asked for.
@@ -56,9 +57,15 @@ def plan(rows: int, similarity: float) -> tuple[int, int]:
     return signs, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - together))) if together < 1 else 1
 
 
-def threshold(similarity: float, miss: float = 0.003) -> int:
-    """Collisions that a pair at the similarity reaches with probability ``1 - miss``."""
-    p, total = 1 - _normal_tail(HALF_WIDTH), 0.0
+def width(radius: float) -> int:
+    """Half width of the windows of a radius, in steps."""
+    return max(1, round(HALF_WIDTH * radius * STEPS))
+
+
+@lru_cache
+def threshold(radius: float, miss: float = 0.0001) -> int:
+    """Collisions that a pair at the radius reaches with probability ``1 - miss``, rounding to steps included."""
+    p, total = 1 - _normal_tail((width(radius) + 0.5) / math.sqrt((radius * STEPS) ** 2 + 1 / 6)), 0.0
     for k in range(COUNTED + 1):
         total += math.comb(COUNTED, k) * p**k * (1 - p) ** (COUNTED - k)
         if total > miss:
@@ -66,6 +73,19 @@ def threshold(similarity: float, miss: float = 0.003) -> int:
     return COUNTED
 
 
+def _packed(p: np.ndarray) -> np.ndarray:
+    """Six bits of each coordinate: four of them in three bytes (n, 3 * dim / 4)."""
+    u = (p + (LIMIT + 1)).astype(np.uint8).reshape(len(p), -1, 4)
+    return np.stack((u[..., 0] | u[..., 1] << 6, u[..., 1] >> 2 | u[..., 2] << 4, u[..., 2] >> 4 | u[..., 3] << 2), 2).reshape(len(p), -1)
+
+
+def _unpacked(b: np.ndarray) -> np.ndarray:
+    """int8 coordinates of packed rows."""
+    x, y, z = np.moveaxis(b.reshape(len(b), -1, 3), 2, 0)
+    u = np.stack((x & 63, x >> 6 | (y & 15) << 2, y >> 4 | (z & 3) << 4, z >> 2), 2).reshape(len(b), -1)
+    return u.astype(np.int8) - np.int8(LIMIT + 1)
+
+
 def _hash_rows(matrix: np.ndarray, signs: int, cuttings: int, seed: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Cell keys (n, cuttings) and int8 or fine int16 coordinates (n, dim) of unit vectors after a random rotation."""
     rng = np.random.default_rng(seed)
@@ -76,8 +96,11 @@ def _hash_rows(matrix: np.ndarray, signs: int, cuttings: int, seed: int, fine: b
     keys = (bits * (1 << np.arange(signs, dtype=np.int64))).sum(2)
     turned = matrix @ turn * (STEPS * math.sqrt(dim))
     if fine:
-        return keys, np.clip(np.rint(turned * FINER), -127 * FINER, 127 * FINER).astype(np.int16)
-    return keys, np.clip(np.rint(turned), -127, 127).astype(np.int8)
+        return keys, np.clip(np.rint(turned * FINER), -LIMIT * FINER, LIMIT * FINER).astype(np.int16)
+    return keys, np.clip(np.rint(turned), -LIMIT, LIMIT).astype(np.int8)
+
+
+_ROW = np.arange(COUNTED, dtype=np.int64)[:, None] * 513
 
 
 def _coarse(p: np.ndarray) -> np.ndarray:
@@ -109,12 +132,12 @@ def _hasher(modalities: int, signs: int, cuttings: int, seed: int, dim: int, fin
                 y = np.array([d >> 65 for d in digests], dtype=np.int64)
                 matrix /= np.abs(matrix).max(1, keepdims=True)  # no overflow in the norm
                 keys, projections = _hash_rows((matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).astype(np.float32), signs, cuttings, seed, fine)
-                cells = ((np.int64(m) * cuttings + np.arange(cuttings)) << signs) + keys
-                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cuttings, dtype=np.int32), pa.array(cells.ravel()))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * projections.itemsize), len(rows), [None, pa.py_buffer(np.ascontiguousarray(projections).tobytes())]).cast(pa.binary())
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, cuttings, dtype=np.int32), pa.array(keys.ravel().astype(np.int32)))
+                stored = np.ascontiguousarray(projections if fine else _packed(projections)).view(np.uint8)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stored.shape[1]), len(rows), [None, pa.py_buffer(stored.tobytes())]).cast(pa.binary())
                 at = pa.array(rows)
                 columns = [pa.array(np.full(len(rows), m, np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(x), pa.array(y), lists, packed]
-                yield pa.RecordBatch.from_arrays(columns, ["m", "id", "owner", "x", "y", "cells", "p"])
+                yield pa.RecordBatch.from_arrays(columns, ["m", "id", "owner", "x", "y", "keys", "p"])
 
     return run
 
@@ -124,31 +147,32 @@ class Members:
 
     def __init__(self, p: np.ndarray, ids: np.ndarray, owners: np.ndarray):
         self.p, self.ids, self.owners = p, ids, owners
-        counted = _coarse(p[:, :COUNTED]).T.astype(np.int64)
+        counted = np.ascontiguousarray(_coarse(p[:, :COUNTED]).T)
         n = len(ids)
-        # offsets[j, v]: where the value v - 128 begins in the sorted array j
-        places = np.bincount((np.arange(COUNTED)[:, None] * 257 + counted + 129).ravel(), minlength=COUNTED * 257).reshape(COUNTED, 257)
-        self.offsets = places.cumsum(1)
-        kind = np.int16 if n < 2**14 else np.int32
-        self.unsigned = np.uint16 if n < 2**14 else np.uint32
+        # offsets[j * 513 + v]: where the value v - 256 begins in the sorted array j
+        places = np.bincount((counted + (_ROW + 257)).ravel(), minlength=COUNTED * 513).reshape(COUNTED, 513)
+        self.offsets = places.cumsum(1, dtype=np.int32).ravel()
+        # positions are unsigned, so that one comparison tests both ends of a window
+        kind = np.uint8 if n < 2**8 else np.uint16 if n < 2**16 else np.uint32
         self.rank = np.empty((COUNTED, n), kind)  # position of each member in each sorted array
-        np.put_along_axis(self.rank, np.argsort(counted.astype(np.int16), 1, kind="stable"), np.arange(n, dtype=kind)[None, :], 1)
+        np.put_along_axis(self.rank, np.argsort(counted, 1, kind="stable"), np.arange(n, dtype=kind)[None, :], 1)
         self.norms = np.sqrt((p.astype(np.float64) ** 2).sum(1))
 
     def windows(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First position and size of the windows of half width ``width`` around the queries, per projection."""
-        counted = _coarse(q[:, :COUNTED]).T.astype(np.int64)
-        j = np.arange(COUNTED)[:, None]
-        begin = self.offsets[j, np.clip(counted - width, -128, 127) + 128]
-        end = self.offsets[j, np.clip(counted + width, -128, 127) + 129]
-        return begin.astype(self.rank.dtype), (end - begin).astype(self.rank.dtype)
+        """First position and size of the windows of half width ``width`` (below 128) around the queries, per projection."""
+        at = np.ascontiguousarray(_coarse(q[:, :COUNTED]).T) + (_ROW + 256)
+        begin = self.offsets[at - width]
+        return begin.astype(self.rank.dtype), (self.offsets[at + (width + 1)] - begin).astype(self.rank.dtype)
 
     def collisions(self, begin: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) of the pairs that lie in the windows of at least ``least`` projections."""
-        counts = np.zeros((begin.shape[1], len(self.ids)), dtype=np.int8)
-        for j in range(COUNTED):
-            counts += (self.rank[j][None, :] - begin[j][:, None]).view(self.unsigned) < size[j][:, None].view(self.unsigned)
-        return np.nonzero(counts >= least)
+        shape = begin.shape[1], len(self.ids)
+        counts, from_begin, inside = np.zeros(shape, np.uint8), np.empty(shape, self.rank.dtype), np.empty(shape, bool)
+        for rank, b, n in zip(self.rank, begin, size, strict=True):
+            np.subtract(rank[None, :], b[:, None], out=from_begin)
+            np.less(from_begin, n[:, None], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return np.divmod(np.flatnonzero(counts >= least), shape[1])
 
 
 def _rank_within(*keys: np.ndarray) -> np.ndarray:
@@ -164,31 +188,46 @@ def _rank_within(*keys: np.ndarray) -> np.ndarray:
 def nearest_in_cell(q: np.ndarray, q_ids: np.ndarray, q_owners: np.ndarray, members: Members, k: int, similarity: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(a, b, owner of b, similarity)``: the first 2k members of other owners for each query, at most k of one owner.
 
-    Windows widen over ``RADII`` until a query has 2k verified members of other owners within the radius; as a window total below
-    2k times the threshold can't hold them, such a radius is passed over without counting. An odd owner code marks a class of
+    Windows widen over ``RADII`` until a query has 2k verified members of other owners within the radius. A radius is passed over
+    without counting where the windows hold too little beyond their share of the widest ones, as wider windows lose nothing. An odd owner code marks a class of
     rows of several owners, to which the bound per owner applies; other queries need only the first k and their owner left out.
-    A query that leaves out a member as near as its k-th, as far as int8 can tell, comes out once with itself.
+    A query that leaves out a member as near as its k-th, as far as the rounding can tell, comes out once with itself.
     """
-    least, bound = threshold(similarity), math.sqrt(2 - 2 * similarity)
+    bound = math.sqrt(2 - 2 * similarity)
     found: list[tuple[np.ndarray, ...]] = []
-    slack = 0.002  # the int8 coordinates' error in cosine, for pairs at the bound
+    # rounding to steps lengthens the vectors, and its error in cosine grows with the distance
+    rounded = q.dtype == np.int8
+    longer, slack = (1 + 1 / (12 * STEPS**2), 0.02 * bound + 0.001) if rounded else (1.0, 1e-6)
     norms = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    real = np.float32 if q.dtype == np.int8 else np.float64
+    real = np.float32 if rounded else np.float64
+    widest = width(bound)
     for at in range(0, len(q), block):
-        active = np.arange(at, min(at + block, len(q)))
+        part = q[at : at + block]
+        active = np.ones(len(part), bool)
+        whole = members.windows(part, widest)
+        total = whole[1].sum(0, dtype=np.int64)
         for level in range(RADII):
             radius, last = bound / 2 ** (RADII - 1 - level), level == RADII - 1
-            begin, size = members.windows(q[active], round(HALF_WIDTH * radius * STEPS))
-            hopeful = np.ones(len(active), bool) if last else size.sum(0, dtype=np.int64) >= 2 * k * least
-            if not hopeful.any():
+            least = threshold(radius)
+            if last:
+                tried, (begin, size) = active, whole
+            else:
+                # what the windows hold beyond their share of the widest ones must make up the members sought
+                begin, size = members.windows(part, width(radius))
+                tried = active & (size.sum(0, dtype=np.int64) - total * ((2 * width(radius) + 1) / (2 * widest + 1)) >= k * least)
+            if not tried.any():
                 continue
-            i, m = members.collisions(begin[:, hopeful], size[:, hopeful], least)
-            i = active[hopeful][i]
+            rows = np.flatnonzero(tried)
+            i, m = members.collisions(*((begin, size) if len(rows) == len(part) else (begin[:, rows], size[:, rows])), least)
+            i = rows[i] + at
             other = (q_owners[i] != members.owners[m]) & (q_ids[i] != members.ids[m])
             i, m = i[other], m[other]
-            sim = np.einsum("ij,ij->i", q[i].astype(real), members.p[m].astype(real)) / (norms[i] * members.norms[m])
-            near = sim >= (similarity - slack if last else 1 - radius**2 / 2)
-            i, m, sim = i[near], m[near], sim[near]
+            if len(i):
+                sim = np.einsum("ij,ij->i", q[i].astype(real), members.p[m].astype(real)) / (norms[i] * members.norms[m]) * longer
+                near = sim >= (similarity - slack if last else 1 - radius**2 / 2)
+                i, m, sim = i[near], m[near], sim[near]
+            if not len(i):
+                continue
             order = np.lexsort((members.ids[m], -sim, members.owners[m], i))
             i, m, sim = i[order], m[order], sim[order]
             kept = (_rank_within(i, members.owners[m]) < k) | (q_owners[i] & 1 == 0)
@@ -197,35 +236,27 @@ def nearest_in_cell(q: np.ndarray, q_ids: np.ndarray, q_owners: np.ndarray, memb
             i, m, sim = i[order], m[order], sim[order]
             place = _rank_within(i)
             kth, left_out = place == k - 1, place == 2 * k
-            # the error of int8 coordinates grows with the distance
-            reach = np.full(block, np.inf)
-            reach[i[kth] - at] = sim[kth] - 0.007 * np.sqrt(np.maximum(0, 2 - 2 * sim[kth])) - 0.0001
-            unclear = i[left_out][sim[left_out] >= reach[i[left_out] - at]] if q.dtype == np.int8 else i[:0]
+            reach = np.full(len(part), np.inf)
+            reach[i[kth] - at] = sim[kth] - 0.02 * np.sqrt(np.maximum(0, 2 - 2 * sim[kth])) - 0.0007
+            unclear = i[left_out][sim[left_out] >= reach[i[left_out] - at]] if rounded else i[:0]
             kept = place < 2 * k
             i, m, sim = i[kept], m[kept], sim[kept]
-            if last:
-                done = active
-            else:
-                got = np.bincount(i - at, minlength=block)[active - at]
-                done = active[got >= 2 * k]
-            mine = np.isin(i, done)
+            done = tried if last else tried & (np.bincount(i - at, minlength=len(part)) >= 2 * k)
+            mine, unclear = done[i - at], q_ids[unclear[done[unclear - at]]]
             found.append((q_ids[i[mine]], members.ids[m[mine]], members.owners[m[mine]], sim[mine]))
-            unclear = q_ids[unclear[np.isin(unclear, done)]]
             found.append((unclear, unclear, np.zeros(len(unclear), np.int64), np.full(len(unclear), np.nan)))
-            active = np.setdiff1d(active, done, assume_unique=True)
-            if not len(active):
-                break
+            active &= ~done
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip([*zip(*found)] or [()] * 4, (np.int64, np.int64, np.int64, np.float64), strict=True))
 
 
 def _counter(k: int, similarity: float, dim: int, fine: bool):
     """Sorted Arrow batches (cell, part, query, id, o, p) to links of each row; a part may span batches, members come first."""
-    schema = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bo", pa.int64()), ("sim", pa.float64())])
+    schema = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bo", pa.int32()), ("sim", pa.float64())])
 
     def links(cell: int, ids: np.ndarray, owners: np.ndarray, p: np.ndarray, members: Members) -> Iterator[pa.RecordBatch]:
         a, b, bo, sim = nearest_in_cell(p, ids, owners, members, k, similarity)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), cell), a, b, bo, sim.astype(np.float64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), cell), a, b, bo.astype(np.int32), sim.astype(np.float64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, members = None, [], None
@@ -242,7 +273,8 @@ def _counter(k: int, similarity: float, dim: int, fine: bool):
             if not batch.num_rows:
                 continue
             cells, parts, query, ids, owners = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            p = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int16 if fine else np.int8).reshape(-1, dim)
+            raw = b"".join(batch.column(5).to_pylist())
+            p = np.frombuffer(raw, np.int16).reshape(-1, dim) if fine else _unpacked(np.frombuffer(raw, np.uint8).reshape(-1, dim * 3 // 4))
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
                 key = int(cells[lo]), int(parts[lo])
@@ -289,7 +321,7 @@ def neighbours(
     signs, cuttings = plan(bank.count(), similarity)
     types = dict(bank.dtypes)
     source = bank.where("status = 1").select(id_column, owner, *modalities)
-    shape = f"m int, id {types[id_column]}, owner {types[owner]}, x bigint, y bigint, cells array<bigint>, p binary"
+    shape = f"m int, id {types[id_column]}, owner {types[owner]}, x bigint, y bigint, keys array<int>, p binary"
     hashed = materialise(source.mapInArrow(_hasher(len(modalities), signs, cuttings, seed, dim), shape), "hashed")
     # an unknown owner is an owner of its own
     owned = F.struct(F.col("owner").isNull().alias("alone"), F.coalesce(F.col("owner").cast("string"), F.col("id").cast("string")).alias("o"))
@@ -297,23 +329,32 @@ def neighbours(
     classes = rows.groupBy("m", "x", "y").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n"), (F.min("owner") != F.max("owner")).alias("mixed")).where("n > 1").drop("n")
     copies = materialise(rows.join(classes, ["m", "x", "y"]).select("m", "id", "owner", "c", "mixed"), "copies")
     # rows that are copies of an earlier one meet nobody; an odd owner code marks a class of rows of several owners
-    marked = hashed.select("m", "id", "p", "cells", F.xxhash64(owned).alias("o")).join(copies.select("m", "id", "c", "mixed"), ["m", "id"], "left").where("c IS NULL OR id = c")
-    code = F.when(F.col("mixed"), F.xxhash64(F.lit("class"), "id").bitwiseOR(F.lit(1))).otherwise(F.col("o").bitwiseAND(F.lit(-2)))
-    placed = marked.select("m", "id", code.alias("o"), "p", F.explode("cells").alias("cell"))
-    met = materialise(_meet(placed.drop("m"), k, similarity, dim), "met")
-    # cells with queries that int8 leaves unclear are met again on finer coordinates
-    unclear = met.where("a = b").select("cell").distinct()
-    again = materialise(placed.drop("p").join(unclear, "cell", "left_semi"), "unclear")
+    marked = hashed.select("m", "id", "p", "keys", F.hash(owned).alias("o")).join(copies.where("id <> c").select("m", "id"), ["m", "id"], "left_anti")
+    mixed = copies.where("mixed AND id = c").select("m", "id", F.lit(True).alias("mixed"))
+    code = F.when(F.col("mixed"), F.hash(F.lit("class"), "id").bitwiseOR(F.lit(1))).otherwise(F.col("o").bitwiseAND(F.lit(-2)))
+    coded = marked.join(mixed, ["m", "id"], "left").select("m", "id", code.alias("o"), "p", F.posexplode("keys").alias("c", "key"))
+    # cell numbers hold modality, cutting and key
+    placed = coded.select("m", "id", "o", "p", (F.shiftleft((F.col("m") * cuttings + F.col("c")).cast("long"), signs) + F.col("key")).alias("cell"))
+    # large cells, and cells with queries that six bits leave unclear, are met on finer coordinates
+    sizes = placed.groupBy("cell").count().where(F.col("count") > PART_ROWS)
+    large = materialise(sizes.select("cell", F.ceil(F.col("count") / (PART_ROWS // 2)).cast("int").alias("parts")), "large")
+    small = placed.drop("m").join(large, "cell", "left_anti")
+    met = materialise(_meet(small.select("cell", F.lit(0).alias("part"), F.lit(False).alias("query"), "id", "o", "p"), k, similarity, dim), "met")
+    unclear = materialise(met.where("a = b").select("cell").distinct().select("cell", F.lit(1).alias("parts")).unionByName(large), "unclear")
+    again = materialise(placed.drop("p").join(unclear, "cell"), "again")
     fine = source.withColumnRenamed(id_column, "id").join(again.select("id").distinct(), "id", "left_semi").select("id", owner, *modalities)
     finer = fine.mapInArrow(_hasher(len(modalities), signs, cuttings, seed, dim, True), shape).select("m", "id", "p")
-    refined = _meet(again.join(finer, ["m", "id"]).drop("m"), k, similarity, dim, True)
+    refined = _meet(_parted(again.join(finer, ["m", "id"])), k, similarity, dim, True)
     clear = met.where("a <> b").join(unclear, "cell", "left_anti").unionByName(refined)
     linked = clear.select(F.floor(F.shiftright("cell", signs) / cuttings).cast("int").alias("m"), "a", "b", "bo", "sim")
-    # a row's links from all its cells: the first 2k, at most k of one owner
-    own = linked.repartition("m", "a").dropDuplicates(["m", "a", "b"])
+    # a row's links from all its cells: the first 2k, at most k of one owner, and those that rounding leaves as near as the k-th
+    own = linked.repartition("m", "a").groupBy("m", "a", "b").agg(F.max("sim").alias("sim"), F.first("bo").alias("bo"))
     near = [F.desc("sim"), F.asc("b")]
     best = own.withColumn("i", F.row_number().over(Window.partitionBy("m", "a", "bo").orderBy(*near))).where(F.col("i") <= k)
-    best = best.withColumn("i", F.row_number().over(Window.partitionBy("m", "a").orderBy(*near))).where(F.col("i") <= 2 * k)
+    mine = Window.partitionBy("m", "a").orderBy(*near)
+    kth = F.max(F.when(F.col("i") == k, F.col("sim"))).over(Window.partitionBy("m", "a"))
+    best = best.withColumn("i", F.row_number().over(mine)).withColumn("kth", kth)
+    best = best.where((F.col("i") <= 2 * k) | (F.col("sim") >= F.col("kth") - 0.02 * F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))) - 0.0007))
     candidates = materialise(best.select("m", "a", "b"), "candidates")
     needed = candidates.select("m", F.col("a").alias("id")).unionByName(candidates.select("m", F.col("b").alias("id"))).distinct()
     vectors = source.select(F.col(id_column).alias("id"), F.posexplode(F.array(*modalities)).alias("m", "v"))
@@ -347,18 +388,20 @@ def neighbours(
     return own_first.select("m", "id", F.explode("best").alias("x")).select("m", "id", F.col("x.other").alias("other"), F.col("x.sim").alias("sim"))
 
 
-def _meet(first: DataFrame, k: int, similarity: float, dim: int, fine: bool = False) -> DataFrame:
-    """``cell, a, b, bo, sim``: the links of each row of ``(cell, id, o, p)`` inside a cell; large cells in salted parts.
+def _parted(rows: DataFrame) -> DataFrame:
+    """``cell, part, query, id, o, p`` of ``rows(cell, parts, id, o, p)``: large cells in salted parts.
 
-    A cell of more than ``PART_ROWS`` rows is split: each row is a member of one part and a query of the others, so
-    no pair is lost and no part holds the cell as members. The counts per cell are combined before their shuffle.
+    Each row is a member of one part and a query of the others, so no pair is lost and no part holds the cell as members.
     """
-    large = materialise(first.groupBy("cell").count().where(F.col("count") > PART_ROWS).select("cell", F.ceil(F.col("count") / (PART_ROWS // 2)).cast("int").alias("parts")), "large")
-    split = first.join(large, "cell", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.lit(0)))
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    rows = split.select("cell", parts.alias("part"), "own", "id", "o", "p").select("cell", "part", (F.col("part") != F.col("own")).alias("query"), "id", "o", "p")
+    split = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = split.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own", "id", "o", "p")
+    return parts.select("cell", "part", (F.col("part") != F.col("own")).alias("query"), "id", "o", "p")
+
+
+def _meet(rows: DataFrame, k: int, similarity: float, dim: int, fine: bool = False) -> DataFrame:
+    """``cell, a, b, bo, sim``: the links of each row of ``(cell, part, query, id, o, p)`` to the members of its cell part."""
     placed = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "query")
-    return placed.mapInArrow(_counter(k, similarity, dim, fine), "cell bigint, a bigint, b bigint, bo bigint, sim double")
+    return placed.mapInArrow(_counter(k, similarity, dim, fine), "cell bigint, a bigint, b bigint, bo int, sim double")
 
 
 def similar_pairs(bank: DataFrame, modalities: Sequence[str], k: int = 10, similarity: float = 0.95) -> DataFrame:

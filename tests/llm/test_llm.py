@@ -164,7 +164,9 @@ def coordinates(n, spread, seed=3, fine=False):
     r = np.random.default_rng(seed)
     v = r.standard_normal(64) + spread * r.standard_normal((n, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    return v, np.rint(v * 8 * neighbours.STEPS * (neighbours.FINER if fine else 1)).astype(np.int16 if fine else np.int8)
+    p = np.rint(v * 8 * neighbours.STEPS * (neighbours.FINER if fine else 1)).astype(np.int16 if fine else np.int8)
+    assert fine or (neighbours._unpacked(neighbours._packed(np.clip(p, -31, 31))) == np.clip(p, -31, 31)).all()
+    return v, p
 
 
 @pytest.mark.parametrize("members,spread,fine", [(1, 0.1, False), (40, 0.1, False), (23, 0.25, False), (300, 0.02, True), (300, 0.1, True), (300, 0.22, False)])
@@ -174,12 +176,14 @@ def test_cell_against_brute_force(members, spread, fine):
     owners = 2 * (n % 7)
     part = neighbours.Members(p[:members], n[:members], owners[:members])
     a, b, *_ = neighbours.nearest_in_cell(p, n, owners, part, 3, 0.95, block=16)
+    again = set(a[a == b].tolist())  # queries that come out with themselves are met again on finer coordinates
+    assert not (fine and again)
     a, b = a[a != b], b[a != b]
     assert np.bincount(a, minlength=1).max(initial=0) <= 6 and (owners[a] != owners[b]).all() and (b < members).all()
     got, exact, want, hit = {}, v @ v.T, 0, 0
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         got.setdefault(x, []).append(y)
-    for i in n:
+    for i in set(n.tolist()) - again:
         best = [j for j in np.argsort(-exact[i, :members]) if owners[j] != owners[i] and exact[i, j] >= 0.95][:3]
         want, hit = want + len(best), hit + len(set(best) & set(got.get(i, [])))
     assert hit >= 0.98 * want
