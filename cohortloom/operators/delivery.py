@@ -58,16 +58,16 @@ def split_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tu
     rows = _identified(df, keys, order)
     repeated = repeated_identifiers(rows)
     alone = rows.where("__key IS NULL").unionByName(rows.where("__key IS NOT NULL").join(repeated, "__key", "left_anti").select(rows.columns))
-    ranked = rows.where("__key IS NOT NULL").join(repeated, "__key", "left_semi")
     row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
     unpacked = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)]
-    first = ranked.groupBy("__key").agg(F.min_by(row, "__place").alias("r"))
-    kept = alone.select(columns).unionByName(first.select(unpacked))
-    met = ranked.join(ranked.groupBy("__key").agg(F.min("__place").alias("__first")), "__key")
-    later = met.where(F.col("__place") != F.col("__first")).select(columns)
-    same = met.where(F.col("__place") == F.col("__first")).groupBy("__key").agg(F.first(row).alias("r"), F.count(F.lit(1)).alias("__n"))
-    again = same.where("__n > 1").select("r", F.explode(F.sequence(F.lit(2).cast("long"), F.col("__n")))).select(unpacked)
-    return kept, later.unionByName(again)
+    # rows of repeated identifiers, equal ones as one with their number
+    ranked = rows.where("__key IS NOT NULL").join(repeated, "__key", "left_semi").groupBy("__key", "__place").agg(F.first(row).alias("r"), F.count(F.lit(1)).alias("__n"))
+    ranked = materialise(ranked, "ranked")
+    kept = alone.select(columns).unionByName(ranked.groupBy("__key").agg(F.min_by("r", "__place").alias("r")).select(unpacked))
+    first = ranked.groupBy("__key").agg(F.min("__place").alias("__first"))
+    copies = F.col("__n") - (F.col("__place") == F.col("__first")).cast("int")
+    surplus = ranked.join(first, "__key").withColumn("__n", copies).where("__n > 0").select("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(unpacked)
+    return kept, surplus
 
 
 def surplus_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], id_column: str) -> DataFrame:
