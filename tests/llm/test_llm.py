@@ -474,8 +474,8 @@ def test_classifier_learns_beyond_its_rules():
     good = [f"The {a} is {b} in the {c}." for a in ("heart", "lung", "aorta", "bone") for b in ("clear", "large", "normal", "new") for c in ("base", "apex", "view")]
     bad = [f"{a} could not be {b}." for a in ("page", "server", "report", "file", "record") for b in ("found", "loaded", "shown", "opened")]
     weights, bias = residue.train(good + bad, [False] * len(good) + [True] * len(bad), epochs=20)
-    p = residue._score(weights, bias, [residue.features(s, False) for s in ("document could not be found.", "The spine is clear in the view.")])
-    assert p[0] > 0 > p[1]
+    p = residue.probabilities(["document could not be found.", "The spine is clear in the view."], weights, bias)
+    assert p[0] > 0.5 > p[1]
 
 
 def test_residue_documents(spark, sf):
@@ -494,30 +494,41 @@ def test_validation_counts_all_statements(spark, monkeypatch):
     rows = [(i, f"source {'abcdefghijkl'[i % 12]}", f"The {w} is normal.\nNo {w} is seen.\n{w} ward: {{{{ward}}}}") for i, w in enumerate(words)]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string")
     fits = []
-    monkeypatch.setattr(residue, "train", lambda s, *_: fits.append(len(s)) or (np.zeros(1 << residue.BITS), 0.5))
-    for name in ("MAX_POSITIVE", "MAX_NEGATIVE", "MAX_FREQUENT"):
-        monkeypatch.setattr(residue, name, 5)
+    monkeypatch.setattr(residue, "train", lambda s, *_: fits.append(len(s)) or (np.zeros(1 << residue.BITS), 1.0))
+    monkeypatch.setattr(residue, "MAX_SAMPLE", 15)
     parts = {r.part: r for r in residue.validation(d).collect()}
     assert set(parts) == {"seen", "held_out"} and 0 < fits[0] <= 15
     assert sum(r.statements for r in parts.values()) == 300 and sum(r.voted for r in parts.values()) == 100
-    # all are hits at the margin, none at the probability asked for
-    assert all((r.precision, r.recall, r.found_precision, r.found_recall) == (pytest.approx(1 / 3), 1, 0, 0) for r in parts.values())
+    # a bias of 1 takes all statements for residue, one of 0.5 none at the probability asked for
+    assert all((r.precision, r.recall) == (pytest.approx(1 / 3), 1) for r in parts.values())
+    monkeypatch.setattr(residue, "train", lambda s, *_: (np.zeros(1 << residue.BITS), 0.5))
+    assert all((r.precision, r.recall) == (0, 0) for r in residue.validation(d).collect())
     assert residue.validation(d.limit(0)).isEmpty()
     clean = residue.validation(d.selectExpr("doc_id", "source", "substring_index(text, '\n', 1) AS text")).collect()
-    assert sum(r.statements for r in clean) == 100 and all((r.voted, r.precision, r.found_precision) == (0, 0, 0) for r in clean)
+    assert sum(r.statements for r in clean) == 100 and all((r.voted, r.precision) == (0, 0) for r in clean)
+
+
+def test_templates_of_seen_sources_are_not_held_out(spark):
+    rows = [(i, f"source {'abcdefghijkl'[i % 12]}", f"Film {i} of the ward.\nWARD: {{{{ward}}}} {i}") for i in range(48)]
+    parts = residue.validation(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert [r.part for r in parts] == ["seen"]
 
 
 LONG_TERMS = [f"{a} {b} {c}" for a in ("heart", "lung", "aorta", "bone", "apex") for b in ("clear", "large", "normal", "stable") for c in ("today", "again", "as before", "at rest", "on review")]
 
 
-def test_scored_rows_cover_a_long_statement():
+def test_pieces_cover_a_long_statement():
+    r = np.random.default_rng(2)
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
-    for n in (0, 1, 32, 33, 48, 49, 300):
-        rows = list(residue.scored_rows(" ".join(words[:n]), False))
-        whole = set(residue.features(" ".join(words[:n]), False).tolist())
-        assert set(rows[0].tolist()) == whole and len(rows) == (1 if n <= 32 else 1 + -(-(n - 16) // 16))
-        grams = {x for i in range(n) for x in residue._row(words[i : i + 3], False, True, False, 1, False, False).tolist()}
-        assert n <= 32 or grams & whole <= {x for r in rows[1:] for x in r.tolist()}
+    texts = [" ".join(words[:n]) for n in (0, 1, 5, 6, 7, 17, 18, 19, 48, 300)]
+    weights = r.standard_normal(1 << residue.BITS)
+    coded = residue.Coded(texts)
+    score = lambda i, a, b: weights[coded.features(i, a, b)].sum() / np.sqrt(len(coded.features(i, a, b))) + 0.25
+    margin, begin, end = coded.margins(weights, 0.25)
+    for i, n in enumerate(np.diff(coded.starts).tolist()):
+        pieces = [(at, at + s) for s in residue.PIECES for at in range(n - s + 1) if s < n] + [(0, n)] * (n <= residue.PIECES[-1])
+        want = max(score(i, a, b) for a, b in pieces)
+        assert margin[i] == pytest.approx(want) and score(i, begin[i], end[i]) == pytest.approx(want)
 
 
 def test_residue_in_one_very_long_line(spark, monkeypatch):
