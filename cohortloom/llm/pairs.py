@@ -42,6 +42,8 @@ def has_content(text: str | None) -> bool:
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _TOKEN = re.compile(r"```|</?[A-Za-z][\w-]*>|[()\[\]{}“”«»\"]")
+_JOINING = tuple(",:;([{‐–\\")
+_BARE_ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])")
 _VOID = frozenset("br hr img input meta link".split())
 
 
@@ -75,9 +77,9 @@ def breaks_off(text: str) -> bool:
     held = left_open(body)
     if any(x in ("```", "{") or x[0] == "<" for x in held):
         return True
-    if held and not re.search(r"[.!?]\W{0,2}$", body):
+    if held and not re.search(r"[.!?]\W{0,2}$", body[-3:]):
         return True
-    return bool(re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])$|[,:;(\[{‐–\\]$", body))
+    return body.endswith(_JOINING) or bool(_BARE_ITEM.fullmatch(body.rpartition("\n")[2]))
 
 
 _SELF = r"(?:i|we|this (?:assistant|model|system)|the (?:assistant|model|system))"
@@ -97,7 +99,7 @@ _REFUSALS = re.compile(
             r"\b(?:policy|policies|guidelines|rules|terms) (?:do|does|will)? ?(?:not (?:allow|permit)|forbids?|prohibits?|prevents?)\b|\bagainst (?:my|our|the) (?:policy|policies|guidelines|rules)\b",
             r"\bnot (?:be )?(?:appropriate|comfortable|safe|right) for me\b|\b(?:not|n't) feel comfortable\b|\b(?:outside|beyond) (?:of )?(?:my|the) (?:scope|capabilit\w+|abilit\w+|remit|role|permitted|allowed)\b|\boutside what i\b",
             r"\b(?:medical|clinical|diagnostic) (?:advice|opinions?|interpretation) (?:is|are) outside\b",
-            r"\bis not something (?:that )?(?:can be done here|i (?:can|am able to|may) )",
+            r"\b(?:is|'s|was) not something (?:that )?(?:can be done here|(?:i|we)(?: can| am able to| are able to| may| will|'m able to)\b)",
             r"\b(?:not able|unable) to (?:comply|assist|interpret medical|fulfil\w*|help with|provide|generate|complete (?:this|the|your) (?:task|request)|process (?:this|the|your))\b",
             r"\bas an? (?:ai|artificial|language model|large language|text assistant|virtual assistant|language system)\b[^.]{0,80}\b(?:not|can't|cannot|won't|unable|decline|refuse|must)\b",
             r"^\W*(?:(?:task|request|i) )?(?:declined?|refused?)\W*$",
@@ -105,6 +107,14 @@ _REFUSALS = re.compile(
             r"\b(?:kann|darf|werde) ich\b[^.]{0,60}\b(?:nicht|keine?n?)\b[^.]{0,40}\b(?:helfen|erstellen|beantworten|schreiben|beschreiben|liefern|erfüllen|verfassen|geben|ausführen|deuten)\b",
             r"\bich (?:lehne|muss)\b[^.]{0,40}\b(?:ab|ablehnen)\b|\banfrage\b[^.]{0,40}\b(?:abgelehnt|nicht beantwort\w+|nicht erfüll\w+)\b",
             r"\bno (?:puedo|podemos|voy a|me es posible) (?:ayudar|proporcionar|escribir|redactar|generar|describir|cumplir|interpretar|ofrecer|dar|responder|realizar|elaborar)\w*\b",
+            r"\bje ne (?:peux|puis|pourrai|suis)\b[^.]{0,60}\b(?:aider|fournir|rédiger|générer|décrire|répondre|interpréter|donner|écrire|produire|établir|traiter)\b",
+            r"\bje (?:dois|me vois obligée? de) (?:refuser|décliner)\b|\bje refuse\b|\b(?:demande|requête)\b[^.]{0,40}\b(?:refusée|rejetée|ne peut être traitée)\b",
+            r"\bnão (?:posso|podemos|vou|consigo|me é possível) (?:ajudar|fornecer|escrever|redigir|gerar|descrever|cumprir|interpretar|oferecer|dar|responder|realizar|elaborar|produzir)\w*",
+            r"\b(?:devo|tenho (?:que|de)) (?:recusar|declinar)\b|\beu recuso\b|\b(?:solicitação|pedido)\b[^.]{0,40}\b(?:recusad[oa]|rejeitad[oa]|negad[oa])\b",
+            r"\bnon (?:posso|possiamo|sono in grado di|mi è possibile) (?:aiutar|fornir|scriver|redig|generar|descriver|interpretar|offrir|dar|risponder|elaborar|produr|soddisf)\w*",
+            r"\b(?:devo|sono costrett[oa] a) (?:rifiutar|declinar)\w*|\bmi rifiuto\b|\brichiesta\b[^.]{0,40}\b(?:rifiutata|respinta)\b",
+            r"\b(?:ik (?:kan|mag|wil|zal)|(?:kan|mag|wil|zal) ik)\b[^.]{0,60}\b(?:niet|geen)\b[^.]{0,40}\b(?:helpen|geven|schrijven|opstellen|genereren|beschrijven|beantwoorden|interpreteren|leveren|maken)\b",
+            r"\bik (?:moet\b[^.]{0,40}\b(?:weigeren|afwijzen)|weiger)\b|\bverzoek\b[^.]{0,40}\b(?:geweigerd|afgewezen)\b",
             r"\b(?:debo|tengo que|me veo obligado a) (?:rechazar|negarme|declinar)\b|\b(?:solicitud|petición)\b[^.]{0,40}\b(?:rechazada|no puede|no será)\b",
         )
     ),
@@ -114,14 +124,18 @@ _REFUSALS = re.compile(
 
 #: A refusal has one of these; most texts have none and skip the grammar.
 _CUES = re.compile(
-    r"n't|\b(?:cannot|can not|not|no|unable|declin|refus|reject|denied|outside|beyond|against|violat|polic|guidelines|rules|terms|as an? (?:ai|art|lan|lar|text|vir)|nicht|keine?n?|lehne|ablehn|abgelehnt|no puedo|no podemos|rechaz|negarme|declinar)", re.I
+    r"n't|\b(?:cannot|can not|not|no|unable|declin|refus|reject|denied|outside|beyond|against|violat|polic|guidelines|rules|terms|as an? (?:ai|art|lan|lar|text|vir)|nicht|keine?n?|lehne|ablehn|abgelehnt|no puedo|no podemos|rechaz|negarme|declinar|je ne|recus|rejei|negad|não|rifiut|respint|niet|geen|weiger|geweigerd|afgewezen|rejet)", re.I
 )
 
 
+@lru_cache(maxsize=100_000)
+def _refuses(sentence: str) -> bool:
+    return bool(_CUES.search(sentence) and _REFUSALS.search(sentence))
+
+
 def declines(text: str | None) -> bool:
     """Whether a sentence declines the task itself; limits of the study or view are none."""
-    plain = (text or "").replace("’", "'")
-    return any(_REFUSALS.search(x) for x in _SENTENCE.split(plain) if _CUES.search(x))
+    return any(map(_refuses, _SENTENCE.split((text or "").replace("’", "'"))))
 
 
 # Function words that tell the languages apart.
@@ -165,7 +179,7 @@ def language(text: str, expected: str | None = None) -> str | None:
 
     With ``expected``, another language is only named where it clearly outweighs the expected one.
     """
-    script, score = _script_and_scores(text if len(text) > 400 else re.sub(r"\d+", "0", text))
+    script, score = _script_and_scores(re.sub(r"\d+", "0", text))
     if script or not score:
         return script
     top = sorted(score.items(), key=lambda x: -x[1])[:2]
@@ -188,42 +202,57 @@ def mostly_other(text: str, expected: str | None) -> bool:
     return 2 * other > total > 0
 
 
+#: Tiles are sought from this length on, halved down to the smallest, so that long runs are taken first.
+LONGEST_TILE = 64
+
+
+def _shingles(words: Sequence[str], size: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[i:] for i in range(size)), strict=False)
+
+
 def tiled_share(pattern: Sequence[str], text: Sequence[str], min_tile: int = MIN_TILE, times: Sequence[int] | None = None, least: float = 0.0) -> float:
-    """Share of ``pattern`` that greedy string tiling covers with ``text``: longest common runs first, each word once.
+    """Share of ``pattern`` that greedy string tiling covers with ``text``: long common runs first, each word once.
 
-    ``times`` weighs the words of the pattern. A share that can't reach ``least`` is given as 0.
+    ``times`` weighs the words of the pattern. A share that can't reach ``least`` is given as 0. Runs are found by hashed
+    shingles whose length is halved from ``LONGEST_TILE``; each place of the text is tried once per length, so the work is
+    in proportion to both texts, however often they repeat themselves.
     """
     if not pattern:
         return 0.0
     times = [1] * len(pattern) if times is None else times
-    size = min(min_tile, len(pattern))
-    at: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(text) - size + 1):
-        at.setdefault(tuple(text[j : j + size]), []).append(j)
+    floor = min(min_tile, len(pattern))
+    known = set(_shingles(text, floor))
     within = [False] * len(pattern)
-    for i in range(len(pattern) - size + 1):
-        if tuple(pattern[i : i + size]) in at:
-            within[i : i + size] = [True] * size
-    if sum(n for n, x in zip(times, within, strict=True) if x) < least * sum(times):
+    for i, x in enumerate(_shingles(pattern, floor)):
+        if x in known:
+            within[i : i + floor] = [True] * floor
+    if sum(n for n, x in zip(times, within, strict=True) if x) < least * sum(times) or not any(within):
         return 0.0  # tiles cover words of matching shingles only: not enough for a copy
-    used_p, used_t = [False] * len(pattern), [False] * len(text)
+    used_p, used_t = bytearray(len(pattern)), bytearray(len(text))
+    size = max(floor, min(LONGEST_TILE, len(pattern), len(text)))
     while True:
-        best: tuple[int, int, int] = (size - 1, 0, 0)
+        at: dict[tuple[str, ...], list[int]] = {}
+        for j, x in enumerate(_shingles(text, size)):
+            if used_t.find(1, j, j + size) < 0:
+                at.setdefault(x, []).append(j)
+        for places in at.values():
+            places.reverse()
         i = 0
         while i <= len(pattern) - size:
-            reach = 1
-            if not used_p[i]:
-                for j in at.get(tuple(pattern[i : i + size]), ()):
-                    n = 0
-                    while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not used_p[i + n] and not used_t[j + n]:
-                        n += 1
-                    if n > best[0]:
-                        best, reach = (n, i, j), n
-            i += reach
-        if best[0] < size:
+            places = at.get(tuple(pattern[i : i + size])) if used_p.find(1, i, i + size) < 0 else None
+            while places and used_t.find(1, places[-1], places[-1] + size) >= 0:
+                places.pop()
+            if not places:
+                i += 1
+                continue
+            j, n = places.pop(), size
+            while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not used_p[i + n] and not used_t[j + n]:
+                n += 1
+            used_p[i : i + n] = used_t[j : j + n] = b"\1" * n
+            i += n
+        if size == floor:
             return sum(n for n, x in zip(times, used_p, strict=True) if x) / sum(times)
-        n, i, j = best
-        used_p[i : i + n] = used_t[j : j + n] = [True] * n
+        size = max(floor, size // 2)
 
 
 _EVIDENCE_LINE = re.compile(r"^\s*(?:anchor\b|ecg\s*:|cxr\s*:|labs?\s*:|ekg\s*:)", re.I)

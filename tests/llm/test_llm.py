@@ -44,6 +44,11 @@ GOOD = "The tracing shows sinus rhythm. There is no evidence of left axis deviat
         (GOOD, ["The assistant refuses to generate clinical text for this input."], "refusal"),
         ("I cannot exclude edema. We were unable to assess the right base because of infection.", [], None),
         ("Patient was unable to hold still. No report of earlier edema is available.", [], None),
+        ("Je ne peux pas fournir ce compte rendu.", [], "refusal"),
+        ("Não posso descrever esta imagem.", [], "refusal"),
+        ("Non sono in grado di fornire un referto.", [], "refusal"),
+        ("Ik kan hierover helaas geen verslag schrijven.", [], "refusal"),
+        ("Sorry, that's not something I can do.", [], "refusal"),
         ("Report: describe the query ecg in a few plain sentences.", [], "copied_prompt"),
         ("Left axis deviation is stable. The tracing shows sinus rhythm at a rate of 70 with a long pause.", [], None),
         (GOOD, ["State conflicts openly and keep every claim tied to an anchor id."], "copied_prompt"),
@@ -74,6 +79,11 @@ def test_pushdown_and_tiling():
         assert 0 <= pairs.tiled_share(p, t, 2) * len(p) <= min(len(p), max(len(t), 1))
 
 
+def test_tiling_of_repetitive_texts_is_fast():
+    assert pairs.tiled_share(["a"] * 20000, ["a"] * 20000) == 1.0
+    assert pairs.tiled_share(["a", "b"] * 9000, ["a", "b", "c"] * 9000) == 0.0
+
+
 def test_copies_in_short_pieces_and_over_and_over():
     words = [f"w{i}" for i in range(100)]
     pieces = [words[i : i + 4] for i in range(0, 100, 4)][::-1]
