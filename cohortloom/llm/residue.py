@@ -34,7 +34,7 @@ HELD_OUT = 0.25
 _FIELD = r"[A-Za-z][A-Za-z0-9]*(?:[_ .-][A-Za-z0-9]+){0,3}"
 _NAMES = r"[A-Za-z][A-Za-z0-9]*(?:[_ .-][A-Za-z0-9]+){1,3}"
 # Fixed phrase rules. Placeholders: an unfilled field name inside the marks of a template language, or an instruction to fill it.
-_PLACEHOLDER = [
+_MARKED = [
     rf"\{{\{{\s*{_FIELD}\s*\}}\}}",
     rf"\$\{{\s*{_FIELD}\s*\}}",
     rf"\{{%\s*{_FIELD}\s*%\}}",
@@ -54,6 +54,8 @@ _PLACEHOLDER = [
     rf"~\s*{_FIELD}\s*~",
     r"\(auto ?text not found\)",
     rf"(?<![\w$%{{])\{{{_FIELD}\}}",
+]
+_INSTRUCTION = [
     r"\b(?:xxx+|todo|tbd|tbc|fixme)\s*:",
     r"^\W*(?:please )?(?:insert|enter|fill in|type|write|dictate|describe|add|put|paste|state|list)\b.{0,60}\b(?:here|below|above|in this field|of the (?:text|report|letter|note|section|document|record|file|template|page))\W*$",
 ]
@@ -96,10 +98,14 @@ _SCRIPT = [
     r"\b(?:checking|verifying) (?:your|that you|if the site)\b|\bverify (?:that )?you are (?:a )?human\b|\bcaptcha\b|^\W*loading\b[^.]{0,30}(?:\.\.\.|…)|^\W*(?:still )?loading\W*$|^\W*please wait\W*$|\bplease wait while\b|\bis (?:still )?loading\b|\brequires it in order to load\b|\bredirect(?:ed|ing) (?:to|you|shortly)\b",
     r"\b(?:aktivieren sie|active|activez|activer|habilite|attivare|attiva|schalten sie)\b[^.]{0,12}\bjavascript\b",
 ]
-RULES = [re.compile(x, re.I) for x in (*_PLACEHOLDER, *_FILLER, *_STATUS, *_ERROR, *_SCRIPT)]
+_compiled = lambda patterns: [re.compile(x, re.I) for x in patterns]
+#: Rules of which every match has one of these marks, and the others.
+MARKS = frozenset("{$<%@#&[(~_")
+MARKED, PLAIN = _compiled(_MARKED), _compiled((*_INSTRUCTION, *_FILLER, *_STATUS, *_ERROR, *_SCRIPT))
+RULES = [*MARKED, *PLAIN]
 def vote(statement: str) -> bool:
     """Whether any phrase or response-status rule speaks for residue: the weak label."""
-    return any(r.search(statement) for r in RULES)
+    return any(r.search(statement) for r in (RULES if MARKS.intersection(statement) else PLAIN))
 
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")

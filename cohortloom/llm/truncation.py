@@ -121,13 +121,13 @@ def cut_statements(texts: DataFrame, separators: Sequence[str], min_support: int
     ``records``: kind, record_id, source and the last statement of each text; null for null and blank texts,
     which are never cut. ``cut``: the distinct ``kind, last`` that break off. Contexts of different kinds are
     counted apart. Ties and repeated texts only add weight. An empty table gives two empty frames. The last
-    statements are written once, as three later steps read them.
+    statements and the counted ones are written once, as several later steps read them.
     """
     spark = texts.sparkSession
     split = statements(texts, separators)
     records = materialise(split.select("kind", "record_id", "source", F.try_element_at("parts", F.lit(-1)).alias("last")), "last")
     counted = spark.sql(_WEIGHTS, statements=split)
-    words = counted.select("kind", "n", tokens(F.col("statement")).alias("w")).groupBy("kind", "w").agg(F.sum("n").alias("n"))
+    words = materialise(counted.select("kind", "n", tokens(F.col("statement")).alias("w")).groupBy("kind", "w").agg(F.sum("n").alias("n")), "words")
     finals = records.where("last IS NOT NULL").select("kind", "last").distinct().withColumn("w", tokens(F.col("last"))).where("size(w) > 1")
     contexts = spark.sql(_CONTEXTS.replace("{lens}", _LENS), words=words)
     decided = spark.sql(_LAST.replace("{lens}", _LENS), {"support": min_support}, finals=finals, contexts=contexts)
