@@ -34,6 +34,14 @@ def truthy_labels(labels: Column) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(labels, lambda k, v: v.isNotNull() & ~F.lower(v.cast("string")).isin("0", "0.0", "false", ""))))
 
 
+def label_texts(text: Column) -> Column:
+    """Labels written as a JSON list or separated by comma, semicolon, pipe or line end; null and blanks have none."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    listed = F.when(plain.startswith("["), F.from_json(plain, "array<string>"))
+    split = F.split(plain, r"[,;|\n]")
+    return listed_labels(F.filter(F.transform(F.coalesce(listed, split), lambda x: F.trim(x)), lambda x: x != ""))
+
+
 def listed_labels(labels: Column) -> Column:
     """Sorted distinct labels of an array; null is empty."""
     return F.array_sort(F.array_distinct(F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull())))
@@ -85,6 +93,24 @@ def signature(*columns: str | Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in columns)), 256)
 
 
+def group_hash(*columns: str | Column) -> Column:
+    """Fifteen hexadecimal digits that name a group of rows."""
+    return F.substring(F.sha1(F.concat_ws("\u0001", *(F.coalesce(_c(c).cast("string"), F.lit("\u0000")) for c in columns))), 1, 15)
+
+
+def strict_signature(*columns: str | Column) -> Column:
+    """:func:`signature` that refuses values which are not finite: such rows fail the query."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | F.coalesce(F.lower(_c(c).cast("string")).isin("nan", "infinity", "-infinity"), F.lit(False))
+    return F.when(bad, F.raise_error(F.lit("a value to sign is not finite"))).otherwise(signature(*columns))
+
+
+def path_safe(name: Column) -> Column:
+    """Whether a name may be part of a path: letters, digits, underscore and hyphen, at most 80, not led by a mark."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_-]{0,79}\z"), F.lit(False))
+
+
 def sequence_hash(items: Column) -> Column:
     """A hash of an array of texts in which no two different arrays share an encoding: items carry their lengths."""
     return F.sha2(F.array_join(F.transform(items, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ""), 256)

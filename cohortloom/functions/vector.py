@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,18 @@ def sign_codes(v: Column, chunk: int) -> Column:
         return F.aggregate(bits, F.lit(0.0), lambda s, x: s + x).cast("int")
 
     return F.transform(F.sequence(F.lit(0), n - 1), code)
+
+
+def nearest_codes(v: Column, codebook: Sequence[Sequence[float]], width: int) -> Column:
+    """For each chunk of ``width`` values the number of the code with the largest cosine; ties go to the smaller number.
+
+    The codebook is a literal of fixed size. A chunk without direction takes code 0; a null vector has no codes, and a last
+    shorter chunk is left out.
+    """
+    unit_codes = [[float(x) / (sum(y * y for y in c) ** 0.5 or 1.0) for x in c] for c in codebook]
+    codes = F.array(*(F.array(*map(F.lit, c)) for c in unit_codes))
+    chunk = lambda i: F.transform(F.slice(v, i * width + 1, width), lambda x: x.cast("double"))
+    score = lambda c, code: F.aggregate(F.zip_with(c, code, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    best = lambda c: F.array_max(F.transform(codes, lambda code, i: F.struct(F.round(score(c, code), 12).alias("s"), (-i).alias("i"))))
+    n = F.floor(F.size(v) / width).cast("int")
+    return F.when(v.isNull(), None).when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: -best(chunk(i))["i"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,49 @@ def condition_grid(anchors: DataFrame, threshold: float) -> DataFrame:
     return rows.select("query_id", "direction", "condition", kept_components(F.col("direction"), gate).alias("components"), ids.alias("anchor_ids"))
 
 
+def full_grid(anchors: DataFrame, threshold: float, controls: Mapping[str, DataFrame]) -> DataFrame:
+    """:func:`condition_grid` with the control conditions: each keeps all components of anchors of its own.
+
+    ``controls``: condition (``full_random`` or ``full_`` with the name of a control bank) to ``query_id, rank, cand_id``. A
+    query without anchors of a control has no row of it.
+    """
+    out = condition_grid(anchors, threshold)
+    queries = anchors.select("query_id", "direction").distinct()
+    full = F.when(F.col("direction") == "ecg", F.array(F.lit("ecg"), F.lit("labs"), F.lit("cxr"))).otherwise(F.array(F.lit("cxr"), F.lit("labs"), F.lit("ecg")))
+    for condition, own in controls.items():
+        per = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand_id"))), lambda x: x["cand_id"]).alias("anchor_ids"))
+        out = out.unionByName(queries.join(per, "query_id").select("query_id", "direction", F.lit(condition).alias("condition"), full.alias("components"), "anchor_ids"))
+    return out
+
+
+def review_arms(queries: DataFrame, raw: DataFrame, single: DataFrame, joint: DataFrame, donors: DataFrame) -> DataFrame:
+    """``query_id, condition, components, anchor_ids, donor_ids``: the seven arms from three retrievers.
+
+    ``raw``, ``single`` and ``joint``: ``query_id, rank, cand_id`` by the raw vectors, the bridged single modality and the joint
+    mean; ``donors``: ``query_id, rank, donor_id``, whose other components replace those of the joint anchors in the broken
+    arm. A query without anchors keeps the arm with an empty list.
+    """
+    listed = lambda df, c: df.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias("ids"))
+    sources = {"raw_ecg_same": raw, "raw_ecg_full": raw, "bridge_ecg_same": single, "trimodal_same": joint, "trimodal_full": joint, "trimodal_broken": joint}
+    none, out = F.array().cast("array<bigint>"), None
+    for arm in REVIEW_ARMS:
+        parts = [] if arm == "zero_shot" else ["ecg"] if arm.endswith("same") else ["ecg", "labs", "cxr"]
+        rows = queries.select("query_id")
+        rows = rows.join(listed(sources[arm], "cand_id"), "query_id", "left") if arm in sources else rows.withColumn("ids", none)
+        rows = rows.join(listed(donors, "donor_id").withColumnRenamed("ids", "moved"), "query_id", "left") if arm == "trimodal_broken" else rows.withColumn("moved", none)
+        kept = F.array(*map(F.lit, parts)).cast("array<string>")
+        rows = rows.select("query_id", F.lit(arm).alias("condition"), kept.alias("components"), F.coalesce("ids", none).alias("anchor_ids"), F.coalesce("moved", none).alias("donor_ids"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def rendered_tasks(contexts: DataFrame, subset: Column, renderings: Sequence[str], default: str) -> DataFrame:
+    """The tasks of each context: every rendering for the subset, the default one for the rest; a null ``subset`` is outside."""
+    inside = F.coalesce(subset, F.lit(False))
+    wanted = F.when(inside, F.array(*map(F.lit, renderings))).otherwise(F.array(F.lit(default)))
+    return contexts.withColumn("rendering", F.explode(wanted))
+
+
 def folded_condition(column: str = "condition") -> Column:
     return F.lower(F.trim(F.col(column)))
 
