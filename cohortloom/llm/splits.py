@@ -9,7 +9,7 @@ to the split quotas, rounds it to whole components, and assigns members of a bun
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,22 +98,42 @@ def _flow(bundles: Sequence[tuple[int, int, tuple[int, ...]]], quota: Sequence[i
     """Rows of each bundle sent to each split: successive shortest paths over source, bundles, splits, sink.
 
     ``bundles``: (size, count, recorded rows of one component by split). The cost of a row is the share of its
-    component recorded elsewhere, so agreeing with records is free. Quotas add up to all rows.
+    component recorded elsewhere, so agreeing with records is free. Quotas add up to all rows. Heaps keep the cheapest choices, so
+    the work is about bundles times their logarithm.
     """
     n, m = len(bundles), len(quota)
     left = [float(s * c) for s, c, _ in bundles]
     room = [float(q) for q in quota]
     sent = [[0.0] * m for _ in range(n)]
     cost = [[(sum(p) - p[j]) / s for j in range(m)] for s, _, p in bundles]
-    while sum(left) > 0.5:
-        dist = [min((cost[i][j], i) for i in range(n) if left[i] > 0) for j in range(m)]
+    # cheapest bundle for each split, and cheapest bundle to move from one split to another; entries that no longer hold are dropped at the top
+    fresh = [[(cost[i][j], i) for i in range(n) if left[i] > 0] for j in range(m)]
+    moves: list[list[list[tuple[float, int]]]] = [[[] for _ in range(m)] for _ in range(m)]
+    for heap in fresh:
+        heapq.heapify(heap)
+
+    def top(heap: list[tuple[float, int]], holds: Callable[[int], bool]) -> tuple[float, int] | None:
+        while heap and not holds(heap[0][1]):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def send(i: int, j: int, amount: float) -> None:
+        if sent[i][j] <= 0 < amount:
+            for b in range(m):
+                if b != j:
+                    heapq.heappush(moves[j][b], (cost[i][b] - cost[i][j], i))
+        sent[i][j] += amount
+
+    remaining = sum(left)
+    while remaining > 0.5:
+        dist = [top(heap, lambda i: left[i] > 0) for heap in fresh]
         best, came = [d for d, _ in dist], [("from", i) for _, i in dist]
         for _ in range(m):  # a split may be reached by moving rows of a bundle there from another split
             for a in range(m):
                 for b in range(m):
-                    moves = [(cost[i][b] - cost[i][a], i) for i in range(n) if sent[i][a] > 0] if a != b else []
-                    if moves and best[a] + min(moves)[0] < best[b] - 1e-12:
-                        best[b], came[b] = best[a] + min(moves)[0], ("move", min(moves)[1], a)
+                    move = top(moves[a][b], lambda i, a=a: sent[i][a] > 0) if a != b else None
+                    if move and best[a] + move[0] < best[b] - 1e-12:
+                        best[b], came[b] = best[a] + move[0], ("move", move[1], a)
         goal = min((best[j], j) for j in range(m) if room[j] > 0)[1]
         path, at = [], goal
         while came[at][0] == "move":
@@ -122,11 +142,12 @@ def _flow(bundles: Sequence[tuple[int, int, tuple[int, ...]]], quota: Sequence[i
         start = came[at][1]
         amount = min([left[start], room[goal], *(sent[i][a] for i, a, _ in path)])
         left[start] -= amount
+        remaining -= amount
         room[goal] -= amount
-        sent[start][at] += amount
+        send(start, at, amount)
         for i, a, b in path:
             sent[i][a] -= amount
-            sent[i][b] += amount
+            send(i, b, amount)
     return sent
 
 

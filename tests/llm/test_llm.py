@@ -284,6 +284,15 @@ def test_quotas_and_recorded_splits(spark):
     assert all(abs(sizes[k] - n) <= 3 for k, n in (("train", 720), ("val", 90), ("test", 90)))
 
 
+def test_many_bundles_are_allocated_fast():
+    r = random.Random(4)
+    bundles = [(r.randint(1, 40), r.randint(1, 5), tuple(r.choice([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]))) for _ in range(20_000)]
+    whole = splits.allocate(bundles, (0.8, 0.1, 0.1))
+    total = sum(s * c for s, c, _ in bundles)
+    assert all(sum(w) == c for w, (_, c, _) in zip(whole, bundles, strict=True))
+    assert all(abs(sum(w[j] * s for w, (s, _, _) in zip(whole, bundles, strict=True)) - f * total) <= 41 for j, f in enumerate((0.8, 0.1, 0.1)))
+
+
 def test_allocation_is_whole_and_near_quota():
     r = random.Random(4)
     for _ in range(40):
