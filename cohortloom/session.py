@@ -47,13 +47,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage without a copy that lives on one executor, and gives the planner true file sizes, so
-    that a later join is broadcast only when the written table is below the session's own threshold.
+    that a later join is broadcast only when the written table is below the session's own threshold. The table is deleted
+    when the driver ends, or before by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialise` has written in this application, and say how many.
+
+    For long sessions, between queries: frames that still read one of them can't be evaluated afterwards.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+    return len(paths)

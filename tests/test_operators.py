@@ -208,3 +208,15 @@ def test_same_row_delivered_again(spark):
     assert [x for (x,) in ids(kept, "delivery_id")] == [1, 2, 2, 3]
     assert [x for (x,) in ids(surplus, "delivery_id")] == [1, 1, 3]
     assert delivery.merge_new(df.where("delivery_id = 1").limit(1), df.where("delivery_id = 1"), ["a", "b"], ["at", "delivery_id"]).count() == 1
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from cohortloom.session import materialise, release
+
+    release(spark)
+    kept = materialise(spark.range(3), "kept")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and kept.count() == 3
+    assert release(spark) == 1 and not os.path.exists(path) and release(spark) == 0
