@@ -168,13 +168,15 @@ def length_matched_control(spark: SparkSession, d: str) -> DataFrame:
     return controls.length_matched(rows.where(F.pmod("id", F.lit(50)) == 0), rows)
 
 
-@query("SELECT q.vec_id AS query_id, count(*) AS pool, 1 AS positives FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 50 = 0 GROUP BY 1 HAVING count(*) > 100".replace("count(*) AS pool", "100::BIGINT AS pool"))
+@query(
+    """SELECT query_id, cand_id, query_id = cand_id AS relevant FROM (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.vec_id = c.vec_id)::INT DESC, md5('4101:' || q.vec_id || ':' || c.vec_id), c.vec_id) AS i
+    FROM embeddings q JOIN embeddings c ON true WHERE q.vec_id % 50 = 0) WHERE i <= 100"""
+)
 def sampled_pools(spark: SparkSession, d: str) -> DataFrame:
-    """Pools of 100 with one positive each; queries are the ids divisible by 50, against all rows."""
+    """Pools of 100 with one positive each, as drawn; queries are the ids divisible by 50, against all rows."""
     e = table(spark, d, "embeddings")
     q = e.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("cand_id"))
-    pool = selection.sampled_pool(q, e.select(F.col("vec_id").alias("cand_id")), 100, "4101")
-    return pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"), F.sum(F.col("relevant").cast("int")).alias("positives"))
+    return selection.sampled_pool(q, e.select(F.col("vec_id").alias("cand_id")), 100, "4101")
 
 
 @query("SELECT DISTINCT sample_id, CASE WHEN b THEN 'bank' ELSE 'deliveries' END AS source FROM (SELECT DISTINCT anchor_id AS sample_id FROM anchor WHERE anchor_id IS NOT NULL) a JOIN (SELECT sample_id, bool_or(b) AS b FROM (SELECT sample_id, true AS b FROM evidence_bank UNION ALL SELECT anchor_id, false FROM anchor) GROUP BY 1) USING (sample_id)")
