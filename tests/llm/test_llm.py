@@ -561,3 +561,34 @@ def test_residue_in_one_very_long_line(spark, monkeypatch):
     rows = [(0, line()), (1, f"{line()} ward: {{{{ward}}}} {line()}"), (2, f"{line()} ward: {{{{ward}}}}"), (3, f"HTTP 504: the page could not be found {line()}"), (4, f"{line()} 504: {line()}")]
     found = residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a")))
     assert ids(found, "doc_id") == [(1,), (2,), (3,)]
+
+
+@pytest.mark.parametrize("first", [None, (0.0, 1.0), (0.0, -3.0)])
+def test_residue_beyond_the_sample(spark, monkeypatch, first):
+    good = [f"The {t} in view." for t in LONG_TERMS] + [f"No {t} is seen on ward ___." for t in LONG_TERMS] + LONG_TERMS
+    bad = [f"{t}: {{{{{t.split()[0]}}}}}" for t in LONG_TERMS[:30]] + ["HTTP 504: this link has expired.", "#reader# left the angle free.", "Loading report...", "Lorem ipsum dolor sit amet."]
+    monkeypatch.setattr(residue, "MAX_SAMPLE", 12)
+    if first:  # a first fit that takes all for residue, and one that takes nothing
+        monkeypatch.setattr(residue, "train", lambda *_: (np.full(1 << residue.BITS, first[0]), first[1]))
+    d = spark.createDataFrame([(i, "a", t) for i, t in enumerate(good + bad)], "doc_id long, source string, text string")
+    assert ids(residue.residue_documents(d), "doc_id") == [(i,) for i in range(len(good), len(good + bad))]
+    assert residue.residue_documents(d.where(f"doc_id < {len(good)}")).isEmpty()
+
+
+def test_all_statements_teach_the_classifier(spark):
+    good = [f"The {t} in view." for t in LONG_TERMS] + LONG_TERMS
+    bad = [f"{t}: {{{{ward}}}}" for t in LONG_TERMS]
+    found = spark.createDataFrame([(t, t in bad) for t in good + bad], "statement string, voted boolean").repartition(3)
+    weights, bias = residue._taught(found, np.zeros(1 << residue.BITS, np.float32), 0.0)
+    judged = residue.probabilities(good + bad, weights, bias) >= residue.MIN_PROBABILITY
+    assert judged.tolist() == [False] * len(good) + [True] * len(bad)
+
+
+def test_votes_are_those_of_all_rules():
+    texts = [x for t in (p.args[1] for p in test_votes.pytestmark) for x, _ in t]
+    texts += ["Contact the webmaster.", "ERR_TIMED_OUT", "a a a", "xxx xxxx 3", "Ticket: 0a1b2c3d", "abc Abc abc", "\u017fomething went wrong", "oops", "Traceback", "It is \u212aey not found"]
+    texts += [f(t) for t in texts for f in (str.upper, str.lower, str.title)]
+    for t in texts:
+        assert residue.vote(t) == any(r.search(t) for r in residue.RULES), t
+    for rule, cues in zip(residue.PLAIN, residue._CUES):
+        assert cues is None or all(any(c in t.lower() for c in cues) for t in texts if t.isascii() and rule.search(t))
